@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import identify_language
 from .packing import pack_documents
+from .quality import score_quality
 from .scratch import table
 from .sharding import shard_documents
 
@@ -15,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -23,5 +29,9 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op9_feistel_sharding)}
+def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_cnn_language, op5_best_fit_packing, op9_feistel_sharding, op10_random_indexing_quality)}
 ORACLE_SQL: dict[str, str] = {}
