@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import identify_language
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality
 from .scratch import table
@@ -17,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_cnn_language, op5_best_fit_packing, op9_feistel_sharding, op10_random_indexing_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_cnn_language, op5_best_fit_packing, op9_feistel_sharding, op10_random_indexing_quality)}
 ORACLE_SQL: dict[str, str] = {}
