@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import oracle as chat_sql
 from .chat import rotate_perspectives
@@ -11,6 +12,7 @@ from .language import identify_language
 from .licenses import oracle as license_sql
 from .licenses import scan_licenses
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack_documents
 from .passages import repeated_passages
 from .quality import score_quality
@@ -36,6 +38,10 @@ def op3_repeated_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
 
 
+def op4_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -66,6 +72,7 @@ QUERIES = {
         op1_minhash_near_dedup,
         op2_byte_cnn_language,
         op3_repeated_phrase_dedup,
+        op4_pruned_graph_neighbours,
         op5_best_fit_packing,
         op6_license_sentences,
         op7_perspective_rotation,
