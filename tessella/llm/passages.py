@@ -158,16 +158,16 @@ def trimmed(window: int):
                 left = b" ".join([w for w, k in zip(own, keep, strict=True) if k])
                 out.append((len(own), int((~keep).sum()), hashlib.sha256(left).hexdigest(), left.decode()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), batch.column("text_id")], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_id"])
 
     return run
 
 
 def repeated_passages(documents: DataFrame, window: int = 50) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_sha256, kept_text.
+    """One row for each document: doc_id, n_words, n_removed, kept_sha256, kept_text, text_id.
 
-    kept_text is the words that are left, joined by one space, of documents that hold a recurring phrase; it is null for
-    the others, which lose nothing. Null and empty texts have no words. Rows with a null doc_id lose nothing and make no
+    kept_text is the words that are left, joined by one space, of documents that hold a recurring phrase, and text_id is
+    xxhash64 of their text; both are null for the others, which lose nothing. Null and empty texts have no words. Rows with a null doc_id lose nothing and make no
     other row lose anything. Rows that share a doc_id are one document for the comparison: their windows do not remove
     each other. A passage that repeats inside one document stays. Further columns are ignored; an empty table stays empty.
     """
@@ -186,6 +186,21 @@ def repeated_passages(documents: DataFrame, window: int = 50) -> DataFrame:
     looked = shards.select("doc_id", F.explode("hashes").alias("hash"))
     twice = scratch.cut(looked.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"))
     hits = looked.join(twice, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("hash").alias("hit"))
-    changed = shards.join(hits, "doc_id", "left").mapInArrow(trimmed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    rest = survey.join(wanted.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+    changed = shards.join(hits, "doc_id", "left").withColumn("text_id", F.xxhash64("text")).mapInArrow(trimmed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_id long")
+    rest = survey.join(wanted.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast("long").alias("text_id"))
     return rest.unionByName(changed)
+
+
+def without_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
+    """The documents, without the words that repeated_passages() removes; texts that lose nothing stay as they are.
+
+    A column n_chars, if there is one, is set to the new length of a text that has lost words. A document may be left
+    with an empty text.
+    """
+    found = repeated_passages(documents, window).where("n_removed > 0").select("doc_id", "text_id", "kept_text").dropDuplicates(["doc_id", "text_id"])
+    found = found.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), F.col("kept_text").alias("__kept"))
+    out = documents.join(found, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__text")), "left")
+    new = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.coalesce(F.length("__kept").cast(documents.schema["n_chars"].dataType), "n_chars")
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns))

@@ -196,3 +196,18 @@ def score_quality(documents: DataFrame, labels: DataFrame, fold: int = 5, held:
 
     held_out = F.coalesce(id_remainder(fold) == held, F.lit(False)).alias("held_out")
     return documents.select("doc_id", held_out, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accept_quality(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, per_label: int = 2048, accept: float = 0.3) -> DataFrame:
+    """The documents, all columns as they are, whose score (as in score_quality) is at least ``accept``; no shuffle."""
+    small_batches(documents.sparkSession)
+    vectors = word_vectors(documents)
+    network = fit_quality(documents, labels, vectors, fold, held, per_label)
+    if network is None:
+        return documents
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(network.probability(pooled(batch.column("text"), vectors).astype(float)) >= accept))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -35,7 +35,7 @@ def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeated_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
+    return repeated_passages(table(spark, sf_dir, "documents"), window=50).drop("kept_text", "text_id")
 
 
 def op4_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
