@@ -32,17 +32,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     logarithm of the longest path, and no round gathers the neighbours of a node in one place.
     """
     now = scratch.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        # least() and the test on u > v keep each node's smallest neighbour, itself included
+    while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide = _star(both, scratch, True)
         small = _star(wide, scratch, False)
         scratch.drop(wide, now)
         now = small
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if after == state:
-            break
-        state = after
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _is_star_forest(pairs: DataFrame) -> bool:
+    """Whether every u has one v and no u is a v of another: then each v is the smallest node of its component."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()

@@ -1,18 +1,21 @@
 """Near-duplicate documents by MinHash, banding, verification and connected components.
 
 1. A document is the set of its distinct word shingles. ``BANDS * ROWS`` universal hash functions (a * x + b modulo 2**64,
-   a odd) give its minima; the upper 16 bits of each are its signature.
+   a odd) give its minima. Every ``ROWS`` of them make a band; one bit of each makes its signature.
 2. Documents with equal sets form a class, and only the class's smallest doc_id goes on. So thousands of copies cost one
    row each and are never paired.
-3. Classes that agree in all rows of a band share a bucket. A bucket is linked in rounds: all members are compared with
-   one hub, a linear number of pairs; members that a hub has linked form components; and only pairs of members in
-   different components are left. When few are left (or after ``STAR_ROUNDS``), all of those are compared. So no pair of
-   a bucket is skipped unless its two ends are already connected.
-4. A pair is confirmed if enough of its signature agrees (six standard deviations below the threshold, so none is lost),
-   and then if the full sets meet the threshold exactly, in integers.
+3. Classes that agree in a band share a bucket. All members of a bucket are compared with its smallest doc_id, a linear
+   number of pairs. After linking, only members in different components are still apart: in a bucket of up to ``SMALL``
+   classes, all pairs that are apart are compared. Larger buckets that hold several components are gathered into clusters
+   of buckets that share members; there, everything outside the largest component is compared with the whole cluster, in
+   blocks of about ``BLOCK`` by ``BLOCK``, and only links leave a block. So no pair of a bucket is skipped unless its two
+   ends are already connected, and no group is expanded into its pairs.
+4. A pair made by a join goes on if its sizes allow the threshold and its signatures agree in enough bits (six standard
+   deviations below what the threshold gives), as a condition of the join itself. Then the full sets decide, in integers.
 5. Components come from alternating large-star and small-star.
 
-With 42 bands of 6 rows, a pair at similarity 0.8 shares no bucket with a probability of 3e-6, at 0.85 of 1e-9.
+With 42 bands of 6 rows, a pair at similarity 0.8 shares no bucket with a probability of 3e-6, at 0.85 of 1e-9. More rows
+to a band (parameters of near_duplicates) keep chance meetings rare in a larger corpus.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ from .graph import components
 from .scratch import Scratch, small_batches
 from .text_arrays import U, mix, slices, windows, words
 
-BANDS, ROWS, STAR_ROUNDS = 42, 6, 4
+BANDS, ROWS, SMALL, BLOCK = 42, 6, 64, 256
 _rng = np.random.default_rng(1234567)
 FACTORS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 SHIFTS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2)
@@ -62,14 +66,27 @@ def minima(items: np.ndarray) -> np.ndarray:
 
 
 def signatures(size: int):
-    """For mapInArrow: size, identity and signature of each document's shingle set."""
+    """For mapInArrow: size, identity, bands and signature bits of each document's shingle set."""
+    words_of_bits = -(-BANDS * ROWS // 64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), size)
-            sigs = [(minima(s) >> U(48)).astype(np.uint16).tobytes() if len(s) else None for s in sets]
+            least = np.zeros((len(sets), BANDS * ROWS), np.uint64)
+            for i, s in enumerate(sets):
+                if len(s):
+                    least[i] = minima(s)
+            rows = mix(least).reshape(len(sets), BANDS, ROWS)
+            bands = np.zeros((len(sets), BANDS), np.uint64)
+            for r in range(ROWS):
+                bands = mix(bands + rows[:, :, r])
+            bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
+            bits = np.zeros((len(sets), words_of_bits * 64), np.uint8)
+            bits[:, : BANDS * ROWS] = (least >> U(40)) & U(1)
+            packed = np.packbits(bits, axis=1).view(np.int64)
             whole = np.array([np.bitwise_xor.reduce(mix(s)) ^ np.add.reduce(mix(s ^ U(0x5BD1E995))) if len(s) else 0 for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mix(whole).view(np.int64)), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
+            at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mix(whole).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.view(np.int64).ravel())), *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(words_of_bits))], names=["doc_id", "n_shingles", "set_id", "bands", *(f"s{i}" for i in range(words_of_bits))])
 
     return run
 
@@ -84,19 +101,6 @@ def stored_sets(size: int):
     return run
 
 
-def alike(least: float):
-    """For mapInArrow: pairs whose signatures agree in at least this share of places."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("sig_u", "sig_v"))
-                keep = pa.array((a == b).mean(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(keep)
-
-    return run
-
-
 def confirmed(percent: int):
     """For mapInArrow: pairs with 100 * intersection >= percent * union of their full sets."""
 
@@ -114,6 +118,33 @@ def confirmed(percent: int):
     return run
 
 
+def linked_across(percent: int):
+    """For applyInPandas: of two blocks, a link of each row of the first to each other component of the second, if any."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = rows[rows["asks"]], rows[~rows["asks"]]
+        out: list[tuple[int, int]] = []
+        if len(ours) and len(theirs):
+            sets = [np.frombuffer(b, np.uint64) for b in (*ours["items"], *theirs["items"])]
+            sizes = np.array([len(s) for s in sets])
+            _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            n, first = len(ours), int(starts[len(ours)])
+            marks = np.zeros(numbers.max() + 1, np.int32)
+            components, names = theirs["component"].to_numpy(), theirs["rep"].to_numpy()
+            for i, (rep, component) in enumerate(zip(ours["rep"], ours["component"], strict=True)):
+                own = numbers[starts[i] : starts[i] + sizes[i]]
+                marks[own] = 1
+                both = np.add.reduceat(marks[numbers[first:]], starts[n:] - first)
+                marks[own] = 0
+                near = np.flatnonzero((100 * both >= percent * (sizes[i] + sizes[n:] - both)) & (components != component))
+                _, one = np.unique(components[near], return_index=True)
+                out += [(int(rep), int(names[j])) for j in near[one]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -126,61 +157,76 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     small_batches(spark)
     scratch = Scratch(spark, "near")
     texts = documents.select("doc_id", "text")
-    sigs = scratch.cut(texts.mapInArrow(signatures(size), "doc_id long, n_shingles long, set_id long, sig binary"))
-    real = sigs.where("sig is not null and doc_id is not null")
+    sketch = [f"s{i}" for i in range(-(-BANDS * ROWS // 64))]
+    sigs = scratch.cut(texts.mapInArrow(signatures(size), "doc_id long, n_shingles long, set_id long, bands array<long>, " + ", ".join(f"{c} long" for c in sketch)))
+    real = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.cut(real.groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep")))
     docs = scratch.cut(real.select("doc_id", "set_id", "n_shingles").join(classes, ["set_id", "n_shingles"]).select("doc_id", "rep"))
-    reps = scratch.cut(real.select(F.col("doc_id").alias("rep"), "set_id", "n_shingles", "sig").join(classes, ["rep", "set_id", "n_shingles"], "left_semi").dropDuplicates(["rep", "set_id"]).select("rep", "set_id", "sig"))
-
-    width = 2 * ROWS
-    bands = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig")
-    bands = bands.select(F.xxhash64("band", F.substring("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"), "rep")
-    shared = scratch.cut(bands.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket"))
-    members = scratch.cut(bands.join(shared, "bucket"))
-    ids = scratch.cut(members.select("rep").distinct())
-    sets = scratch.cut(texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(stored_sets(size), "rep long, items binary"))
-    sig_of = reps.select("rep", "sig")
-    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
-
-    def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        for end in ("u", "v"):
-            pairs = pairs.join(table.select(F.col("rep").alias(end), F.col(column).alias(f"{column}_{end}")), end)
-        return pairs
+    reps = real.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "set_id", "n_shingles"], "left_semi").dropDuplicates(["rep", "set_id"])
+    reps = scratch.cut(reps.select("rep", F.col("n_shingles").alias("n"), "bands", *sketch))
+    bands = reps.select("rep", F.explode("bands").alias("bucket"))
+    shared = scratch.cut(bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    met = scratch.cut(bands.join(shared, "bucket"))
+    members = scratch.cut(met.join(reps.select("rep", "n", *sketch), "rep"))
+
+    differ = " + ".join(f"bit_count(u{c} ^ v{c})" for c in sketch)
+    share = (1 - percent / 100) / 2
+    most = BANDS * ROWS * share + 6 * (BANDS * ROWS * share * (1 - share)) ** 0.5
+    possible = f"100 * least(un, vn) >= {percent} * greatest(un, vn) and {differ} <= {int(most)}"
+
+    def side(frame: DataFrame, x: str) -> DataFrame:
+        return frame.select("bucket", F.col("rep").alias(x), *(F.col(c).alias(f"{x}{c}") for c in frame.columns if c not in ("bucket", "rep", "members")))
+
+    sets = None
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The sets of at least these classes; each is made from its text once."""
+        nonlocal sets
+        ids = scratch.cut(ids if sets is None else ids.join(sets, "rep", "left_anti"))
+        if sets is None or not ids.isEmpty():
+            more = scratch.cut(texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(stored_sets(size), "rep long, items binary").dropDuplicates(["rep", "items"]))
+            sets = more if sets is None else sets.unionByName(more)
+        return sets
 
     def links(pairs: DataFrame) -> DataFrame:
-        near = scratch.cut(both(scratch.cut(pairs), sig_of, "sig").mapInArrow(alike(least), "u long, v long"))
-        return scratch.cut(both(near.distinct(), sets, "items").mapInArrow(confirmed(percent), "u long, v long"))
+        """Those of the pairs that meet the threshold."""
+        near = scratch.cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        known = sets_of(near.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
+        for end in ("u", "v"):
+            near = near.join(known.select(F.col("rep").alias(end), F.col("items").alias(f"items_{end}")), end)
+        return near.mapInArrow(confirmed(percent), "u long, v long")
+
+    def as_edges(comp: DataFrame) -> DataFrame:
+        return comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
     # Rows that share a doc_id but not a text join their classes.
     several = scratch.cut(docs.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"))
-    comp = None if several.isEmpty() else scratch.cut(components(docs.join(several, "doc_id").select(F.col("rep").alias("u"), F.col("lo").alias("v")), scratch))
-    for turn in range(1, STAR_ROUNDS + 2):
-        now = members.withColumn("component", F.col("rep"))
-        if comp is not None:
-            now = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        now = scratch.cut(now.select("bucket", "rep", "component"))
-        order = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"), F.col("component"))).alias("hub")
-        sides = now.groupBy("bucket", "component").agg(F.count("*").alias("n"), order)
-        totals = sides.groupBy("bucket").agg(F.count("*").alias("sides"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("hub").alias("hub"))
-        hubs = scratch.cut(totals.where("sides > 1").select("bucket", "n", (F.col("n") * F.col("n") - F.col("same")).alias("apart"), F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")))
-        n, apart = hubs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("apart"), F.lit(0))).first()
-        if not n:
-            break
-        last = turn > STAR_ROUNDS or apart <= 8 * n
-        if last:  # every pair of a bucket that is not connected yet
-            here = scratch.cut(now.join(hubs.select("bucket"), "bucket"))
-            a, b = (here.select("bucket", F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-            pairs = a.join(b, "bucket").where("u < v and cu <> cv")
-        else:
-            pairs = now.join(hubs, "bucket").where("component <> hub_component").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
-        edges = links(pairs.select("u", "v").distinct())
-        if comp is not None:
-            edges = edges.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        comp = scratch.cut(components(edges, scratch))
-        if last:
-            break
-    if comp is None:
-        comp = spark.createDataFrame([], "node long, component long")
+    edges = docs.join(several, "doc_id").select(F.col("rep").alias("u"), F.col("lo").alias("v"))
+    hub = scratch.cut(members.groupBy("bucket").agg(F.min("rep").alias("rep")).join(reps.select("rep", "n", *sketch), "rep"))
+    star = side(members, "u").join(side(hub, "v"), "bucket").where(f"u <> v and {possible}")
+    comp = scratch.cut(components(edges.unionByName(links(star.select("u", "v"))), scratch))
+
+    now = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = scratch.cut(now)
+    apart = scratch.cut(now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo < hi").select("bucket", "hub"))
+    still = scratch.cut(now.join(apart, "bucket"))
+    few, many = still.where(F.col("members") <= SMALL).drop("hub"), still.where(F.col("members") > SMALL)
+    pairs = side(few, "u").join(side(few, "v"), "bucket").where(f"u < v and ucomponent <> vcomponent and {possible}")
+    edges = as_edges(comp).unionByName(links(pairs.select("u", "v")))
+    if not many.isEmpty():
+        clusters = scratch.cut(components(many.select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch))
+        rows = many.select("rep", "component").distinct().join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "rep")
+        rows = scratch.cut(rows)
+        counts = rows.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+        counts = scratch.cut(counts.select("cluster", "largest", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("asking"), F.ceil(F.col("all") / BLOCK).cast("int").alias("asked")).where("asking > 0"))
+        rows = rows.join(counts, "cluster")
+        rows = scratch.cut(rows.join(sets_of(rows.select("rep").distinct()), "rep"))
+        own = F.pmod(F.xxhash64("rep"), F.col("asking")).cast("int")
+        other = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asked")).cast("int")
+        ask = rows.where("component <> largest").select("cluster", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), F.lit(True).alias("asks"), "rep", "component", "items")
+        answer = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), other.alias("j"), F.lit(False).alias("asks"), "rep", "component", "items")
+        edges = edges.unionByName(ask.unionByName(answer).groupBy("cluster", "i", "j").applyInPandas(linked_across(percent), "u long, v long"))
+    comp = scratch.cut(components(edges, scratch))
     placed = docs.distinct().join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     placed = scratch.cut(placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
     out = sigs.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
