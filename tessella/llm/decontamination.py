@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, small_batches
 from .text_arrays import BYTE_VALUE, raw, runs, slices, spans, windows
 
-PASSAGE, STEP, RANK, SHORT = 48, 16, 64, 8
+PASSAGE, STEP, RANK, SHORT, FREQUENT = 48, 16, 64, 8, 192
 BLOCKS = PASSAGE // STEP
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -121,36 +121,57 @@ def frequencies(size: int):
     return run
 
 
-def sketch(numbers: np.ndarray, starts: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
+class Sums:
+    """Sums of table rows over stretches of words: the most frequent words by a product with their counts."""
+
+    def __init__(self, idf: np.ndarray):
+        self.size = len(idf)
+        self.top = np.argsort(idf, kind="stable")[:FREQUENT]
+        self.place = np.full(self.size + 1, -1)
+        self.place[self.top] = np.arange(len(self.top))
+
+    def split(self, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the frequent words in each stretch, then the other known words and the stretch of each."""
+        stretch = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(numbers))))
+        place = self.place[numbers]
+        often = place >= 0
+        width = len(self.top)
+        counts = np.bincount(stretch[often] * width + place[often], minlength=len(starts) * width).reshape(len(starts), width).astype(np.float32)
+        seldom = np.flatnonzero(~often & (numbers < self.size))
+        return counts, numbers[seldom], stretch[seldom]
+
+    def rows(self, parts: tuple[np.ndarray, np.ndarray, np.ndarray], table: np.ndarray) -> np.ndarray:
+        counts, words, stretch = parts
+        out = counts @ table[self.top]
+        if len(words):
+            first = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
+            out[stretch[first]] += np.add.reduceat(table[words], first)
+        return out
+
+
+def sketch(numbers: np.ndarray, starts: np.ndarray, idf: np.ndarray, omega: np.ndarray, sums: Sums) -> np.ndarray:
     """A^T (A Omega) for passages that begin at starts, each a TF-IDF row of unit length."""
     out = np.zeros_like(omega)
     if not len(starts):
         return out
-    passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(numbers))))
-    known = np.flatnonzero(numbers < len(omega))
-    passage, numbers = passage[known], numbers[known]
-    if not len(known):
-        return out
-    weight = idf[numbers]
-    norm = np.maximum(np.bincount(passage, weight * weight, len(starts)), 1e-12)
-    first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    rows = np.add.reduceat(omega[numbers] * weight[:, None], first)
-    rows /= norm[passage[first]][:, None].astype(omega.dtype)
-    order = np.argsort(numbers, kind="stable")
-    words = numbers[order]
-    each = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-    place = np.cumsum(np.append(0, passage[1:] != passage[:-1]))
-    out[words[each]] = np.add.reduceat(rows[place[order]] * weight[order][:, None], each)
-    return out
+    parts = counts, words, stretch = sums.split(numbers, starts)
+    norm = (counts @ (idf[sums.top] ** 2).astype(np.float32)) + np.bincount(stretch, idf[words] ** 2, len(starts))
+    rows = sums.rows(parts, (omega * idf[:, None]).astype(omega.dtype)) / np.maximum(norm, 1e-12)[:, None].astype(omega.dtype)
+    out[sums.top] = counts.T @ rows
+    if len(words):
+        order = np.argsort(words, kind="stable")
+        each = np.flatnonzero(np.append(True, words[order][1:] != words[order][:-1]))
+        out[words[order][each]] += np.add.reduceat(rows[stretch[order]], each)
+    return out * idf[:, None].astype(omega.dtype)
 
 
 def sketches(size: int, idf: np.ndarray, omega: np.ndarray):
     """For mapInArrow: this task's part of A^T (A Omega), a row for each word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(omega, dtype=np.float64)
+        total, sums = np.zeros_like(omega, dtype=np.float64), Sums(idf)
         for _, numbers, before in unpacked(batches, size):
-            total += sketch(numbers, cuts(before, PASSAGE)[0], idf, omega)
+            total += sketch(numbers, cuts(before, PASSAGE)[0], idf, omega, sums)
         met = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *(pa.array(total[met, c]) for c in range(omega.shape[1]))], names=["word", *(f"y{c}" for c in range(omega.shape[1]))])
 
@@ -185,7 +206,7 @@ def bit_masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def retrieved(items: Items, projection: np.ndarray, cosine: float, overlap: float, answer: float):
+def retrieved(items: Items, idf: np.ndarray, projection: np.ndarray, cosine: float, overlap: float, answer: float):
     """For mapInArrow: confirmed pairs of documents and items."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,32 +225,44 @@ def retrieved(items: Items, projection: np.ndarray, cosine: float, overlap: floa
         for i, w in enumerate(items.words):
             if len(w) < SHORT:
                 short.setdefault(len(w), {}).setdefault(int(windows(w.astype(np.uint64) + np.uint64(1), len(w))[0]), []).append(i)
+        sums, present = Sums(idf), np.zeros(size + 1, bool)
+        farthest = max(map(len, items.words)) // 2 + STEP
         for batch, numbers, before in unpacked(batches, size):
             best: dict[tuple[int, int], tuple] = {}
             starts, owner = cuts(before, STEP)
             if len(starts) and len(of):
-                sums = np.add.reduceat(table[numbers], starts)
-                rows = sums.copy()
+                each = sums.rows(sums.split(numbers, starts), table)
+                rows = each.copy()
                 for k in range(1, BLOCKS):
-                    rows[:-k][owner[:-k] == owner[k:]] += sums[k:][owner[:-k] == owner[k:]]
+                    rows[:-k][owner[:-k] == owner[k:]] += each[k:][owner[:-k] == owner[k:]]
                 near = unit(rows) @ query.T
-                block, q = np.nonzero(near >= cosine)
-                for b, j in zip(block.tolist(), q.tolist(), strict=True):
-                    value = near[b, j]
-                    around = [x for x in (b - 1, b + 1) if 0 <= x < len(starts) and owner[x] == owner[b]]
-                    if any(near[x, j] > value for x in around):
-                        continue
+                high = near >= cosine
+                apart = owner[1:] != owner[:-1]
+                high[1:] &= (near[1:] >= near[:-1]) | apart[:, None]  # local maxima
+                high[:-1] &= (near[:-1] >= near[1:]) | apart[:, None]
+                last = -1
+                for b, j in zip(*(x.tolist() for x in np.nonzero(high)), strict=True):
                     i, doc = int(of[j]), int(owner[b])
+                    if b != last:
+                        if last >= 0:
+                            present[around] = False
+                        around = numbers[max(before[doc], starts[b] - farthest) : min(before[doc + 1], starts[b] + PASSAGE + farthest)]
+                        present[around] = True
+                        last = b
                     item = items.words[i]
+                    if np.count_nonzero(present[item]) < overlap * len(item):  # bounds the common subsequence
+                        continue
                     reach = len(item) // 2 + STEP
-                    low, high = max(before[doc], starts[b] - reach), min(before[doc + 1], starts[b] + PASSAGE + reach)
-                    region = numbers[low:high].tolist()
+                    low, end = max(before[doc], starts[b] - reach), min(before[doc + 1], starts[b] + PASSAGE + reach)
+                    region = numbers[low:end].tolist()
                     share = common(region, masks[i][0], len(item)) / len(item)
                     if share < overlap or share <= best.get((doc, i), (0, 0))[1]:
                         continue
                     told = common(region, masks[i][1], len(items.answers[i])) / len(items.answers[i])
                     if told >= answer:
-                        best[doc, i] = (float(value), share, told, int(low - before[doc]), int(high - before[doc]))
+                        best[doc, i] = (float(near[b, j]), share, told, int(low - before[doc]), int(end - before[doc]))
+                if last >= 0:
+                    present[around] = False
             for length, wanted in short.items():
                 rolled = windows(numbers.astype(np.uint64) + np.uint64(1), length)
                 for at in np.flatnonzero(np.isin(rolled, np.array(list(wanted), np.uint64))).tolist():
@@ -290,6 +323,6 @@ def search(documents: DataFrame, items: Items, scratch: Scratch, cosine: float,
     y[rows["word"].to_numpy(np.int64)] = rows[columns].to_numpy()
     flat, at = np.concatenate(items.words), np.cumsum([0, *map(len, items.words)])
     starts = cuts(at, PASSAGE)[0]
-    y += max(1.0, passages / len(starts)) * sketch(flat, starts, idf, omega)
+    y += max(1.0, passages / len(starts)) * sketch(flat, starts, idf, omega, Sums(idf))
     projection = idf[:, None] * singular_vectors(y, omega.astype(float))
-    return words.mapInArrow(retrieved(items, projection, cosine, overlap, answer), schema)
+    return words.mapInArrow(retrieved(items, idf, projection, cosine, overlap, answer), schema)
