@@ -186,8 +186,9 @@ def percent(part: Column, whole: Column, empty: float = 0.0) -> Column:
 
 
 def decoded_hash(text: Column) -> Column:
-    """The 32 bytes of a hex hash; zero bytes if it cannot be decoded."""
-    return F.coalesce(F.try_to_binary(text, F.lit("hex")), F.unhex(F.repeat(F.lit("00"), 32)))
+    """The bytes of a hex hash; 32 zero bytes if it cannot be decoded."""
+    even = F.when(F.length(text) % 2 == 0, F.try_to_binary(text, F.lit("hex")))
+    return F.coalesce(even, F.unhex(F.repeat(F.lit("00"), 32)))
 
 
 def age_hours(since: Column, as_of: Column) -> Column:

@@ -15,7 +15,10 @@ from ..schemas import TABLES
 
 
 def scan(spark: SparkSession, folder: str, patterns: Sequence[str] = INDEXER_IGNORED, content: bool = True) -> DataFrame:
-    """The files below a folder: path (relative), size, mtime, data. Names are filtered before contents are read."""
+    """The files below a folder: path (relative), size, mtime, data. Names are filtered before contents are read.
+
+    Spark's file reader leaves out files without any byte, and so do the manifests made from it.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     base = folder.split(":", 1)[-1].rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^{base}/", "")
@@ -30,7 +33,7 @@ def walk_order(files: DataFrame) -> DataFrame:
 
 
 def index_folder(spark: SparkSession, folder: str, config: ChunkerConfig | None = None, patterns: Sequence[str] = INDEXER_IGNORED) -> DataFrame:
-    """The manifest of a folder: path, size, mtime, content_hash, chunk_hashes. Empty files have no chunks."""
+    """The manifest of a folder: path, size, mtime, content_hash, chunk_hashes."""
     files = scan(spark, folder, patterns)
     cut = chunks(files, config or ChunkerConfig())
     lists = cut.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"]).alias("chunk_hashes"))
