@@ -96,6 +96,8 @@ def build_graph(x: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
             edges[points] = robust_prune(x, points, np.concatenate([found, edges[points]], 1), DEGREE, alpha)
             source, target = np.repeat(points, DEGREE), edges[points].ravel()
             source, target = source[target >= 0], target[target >= 0]
+            if not len(target):
+                continue
             by = np.argsort(target, kind="stable")
             source, target = source[by], target[by]
             first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
