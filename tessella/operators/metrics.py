@@ -51,20 +51,26 @@ def health_status(score: Column) -> Column:
     return F.when(score >= 0.9, "Healthy").when(score >= 0.7, "Warning").when(score >= 0.4, "Critical").otherwise("Unknown")
 
 
+# What is recommended, in order; {} stands for a count.
+ADVICE = (
+    "Storage health is degraded - run maintenance",
+    "Clean up {} orphaned files",
+    "High number of temp files - run cleanup_expired_partials()",
+    "Shard distribution is unbalanced - consider rehashing",
+    "Data corruption detected - run repair immediately",
+    "Remove {} corrupt objects",
+    "Low cache hit rate - consider increasing cache size",
+    "Low throughput - check disk performance and consider SSD",
+    "High read latency - optimize storage backend",
+)
+
+
 def recommendations(score: Column, orphaned: Column, temps: Column, unbalanced: Column, integrity: Column, corrupt: Column, hit_rate: Column, throughput: Column, read_ms: Column) -> Column:
-    """What to do, in order, as an array of texts; fixed wording."""
-    told = F.array(
-        F.when(score < 0.8, "Storage health is degraded - run maintenance"),
-        F.when(orphaned > 0, F.concat(F.lit("Clean up "), orphaned.cast("string"), F.lit(" orphaned files"))),
-        F.when(temps > 100, "High number of temp files - run cleanup_expired_partials()"),
-        F.when(unbalanced, "Shard distribution is unbalanced - consider rehashing"),
-        F.when(integrity < 0.95, "Data corruption detected - run repair immediately"),
-        F.when(corrupt > 0, F.concat(F.lit("Remove "), corrupt.cast("string"), F.lit(" corrupt objects"))),
-        F.when(hit_rate < 0.7, "Low cache hit rate - consider increasing cache size"),
-        F.when(throughput < 50, "Low throughput - check disk performance and consider SSD"),
-        F.when(read_ms > 10, "High read latency - optimize storage backend"),
-    )
-    return F.filter(told, lambda t: t.isNotNull())
+    """The advice whose condition holds, as an array of texts."""
+    holds = (score < 0.8, orphaned > 0, temps > 100, unbalanced, integrity < 0.95, corrupt > 0, hit_rate < 0.7, throughput < 50, read_ms > 10)
+    counts = {1: orphaned, 5: corrupt}
+    texts = [F.replace(F.lit(t), F.lit("{}"), counts[i].cast("string")) if i in counts else F.lit(t) for i, t in enumerate(ADVICE)]
+    return F.filter(F.array(*(F.when(c, t) for c, t in zip(holds, texts, strict=True))), lambda t: t.isNotNull())
 
 
 def connection_summary(connections: DataFrame) -> DataFrame:
