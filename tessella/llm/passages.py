@@ -71,6 +71,16 @@ class Domains:
         self.domain = mix(spans(self.hashes, self.first, self.last + window)).view(np.int64) if len(first) else self.phrase
         self.bounds = np.searchsorted(self.first, self.before)  # domains before each document
 
+    def distinct(self) -> tuple[pa.Array, pa.Array]:
+        """Phrases and domains of each document, without repetitions."""
+        owner = np.repeat(np.arange(len(self.before) - 1), np.diff(self.bounds))
+        order = np.lexsort((self.domain, owner))
+        owner, phrases, domains = owner[order], self.phrase[order], self.domain[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (domains[1:] != domains[:-1])
+        bounds = np.searchsorted(owner[new], np.arange(len(self.before)))
+        return lists(phrases[new], bounds), lists(domains[new], bounds)
+
     def listed(self, doc: int) -> list[bytes]:
         a, b = self.before[doc], self.before[doc + 1]
         data = self.data.tobytes() if not hasattr(self, "_bytes") else self._bytes
@@ -79,17 +89,18 @@ class Domains:
 
 
 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values of each document as a list."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
 def surveyed(window: int):
-    """For mapInArrow: words, checksum, and the phrase and domain of every domain of each document."""
+    """For mapInArrow: words, checksum, and the phrases and domains of each document, each once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = Domains(batch.column("text"), window)
             sums = [hashlib.sha256(b" ".join(found.listed(i))).hexdigest() for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(found.before)), pa.array(sums), lists(found.phrase, found.bounds), lists(found.domain, found.bounds)], names=["doc_id", "n_words", "sha", "phrases", "domains"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(found.before)), pa.array(sums), *found.distinct()], names=["doc_id", "n_words", "sha", "phrases", "domains"])
 
     return run
 
