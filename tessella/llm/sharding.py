@@ -69,11 +69,12 @@ def permute_once(x, a: int, b: int, keys=ROUND_KEYS):
 def longest_walk(n: int, keys=ROUND_KEYS) -> int:
     """How many passes the number below n that walks farthest needs to come below n again."""
     a, b = halves(n)
-    at = np.arange(n, a * b, dtype=np.int64)
+    start = at = np.arange(n, a * b, dtype=np.int64)
     passes = 1
     while len(at):
         at = permute_once(at, a, b, keys)
-        at = at[at >= n]
+        outside = (at >= n) & (at != start)  # a cycle that stays outside is never entered from below n
+        start, at = start[outside], at[outside]
         passes += 1
     return passes
 
