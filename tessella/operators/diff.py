@@ -16,19 +16,38 @@ def manifest_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").withColumn("change_type", kind).where("change_type is not null").drop("in_source", "in_target")
 
 
+def _lacking(new: Column, old: Column) -> Column:
+    """(seq, hash) of the chunks of a file that its old version lacks, in order and as often as the file has them."""
+    missing = F.array_except(new, old)
+    placed = F.transform(new, lambda h, i: F.struct(i.alias("seq"), h.alias("hash")))
+    return F.when(F.size(missing) == F.size(F.array_distinct(new)), placed).otherwise(F.filter(placed, lambda x: F.array_contains(missing, x["hash"])))
+
+
+def _chunk_rows(source: DataFrame, target: DataFrame, cache: DataFrame) -> DataFrame:
+    """The changes of manifest_diff(), a row for each chunk that the old version of the file lacks (one with nulls if
+    there is none), and whether the cache has that chunk. The versions meet once, by path."""
+    none = F.array().cast("array<string>")
+    a = source.select("path", F.col("content_hash").alias("old_hash"), F.col("size").alias("old_size"), F.col("chunk_hashes").alias("old"), F.lit(1).alias("in_source"))
+    b = target.select("path", F.col("content_hash").alias("new_hash"), F.col("size").alias("new_size"), F.col("chunk_hashes").alias("new"), F.lit(1).alias("in_target"))
+    kind = F.when(F.col("in_source").isNull(), "Added").when(F.col("in_target").isNull(), "Deleted").when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "Modified")
+    changed = a.join(b, "path", "full_outer").withColumn("change_type", kind).where("change_type is not null")
+    lacking = F.when(F.col("change_type") != "Deleted", _lacking(F.coalesce("new", none), F.coalesce("old", none)))
+    rows = changed.select("path", "change_type", "old_hash", "new_hash", "old_size", "new_size", F.explode_outer(lacking).alias("x"))
+    rows = rows.select("path", "change_type", "old_hash", "new_hash", "old_size", "new_size", "x.seq", "x.hash")
+    return rows.join(cache.select("hash").distinct().withColumn("cached", F.lit(True)), "hash", "left")
+
+
 def required_chunks(source: DataFrame, target: DataFrame, cache: DataFrame) -> DataFrame:
     """(path, seq, hash) of the chunks to fetch: of added files all that are not cached, of modified files those that the
     old version lacks too. A chunk that a file holds twice is listed twice."""
-    changed = manifest_diff(source, target).where("change_type <> 'Deleted'").select("path")
-    wanted = target.join(changed, "path", "left_semi").select("path", F.posexplode("chunk_hashes").alias("seq", "hash"))
-    held = source.select("path", F.explode(F.array_distinct("chunk_hashes")).alias("hash"))
-    return wanted.join(held, ["path", "hash"], "left_anti").join(cache.select("hash").distinct(), "hash", "left_anti").select("path", "seq", "hash")
+    return _chunk_rows(source, target, cache).where("hash is not null and cached is null").select("path", "seq", "hash")
 
 
 def chunk_diff(source: DataFrame, target: DataFrame, cache: DataFrame) -> DataFrame:
     """Changes with their chunks to fetch in order; same size and nothing to fetch is MetadataOnly."""
-    need = required_chunks(source, target, cache).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"]).alias("required"))
-    out = manifest_diff(source, target).join(need, "path", "left").withColumn("required", F.coalesce("required", F.array().cast("array<string>")))
+    fetch = F.when(F.col("hash").isNotNull() & F.col("cached").isNull(), F.struct("seq", "hash"))
+    rows = _chunk_rows(source, target, cache).groupBy("path", "change_type", "old_hash", "new_hash", "old_size", "new_size")
+    out = rows.agg(F.transform(F.array_sort(F.collect_list(fetch)), lambda x: x["hash"]).alias("required"))
     metadata = (F.col("change_type") == "Modified") & (F.size("required") == 0) & (F.col("old_size") == F.col("new_size"))
     return out.withColumn("change_type", F.when(metadata, "MetadataOnly").otherwise(F.col("change_type")))
 
@@ -38,12 +57,13 @@ def transfer_size(required: Column) -> Column:
 
 
 def stats(changes: DataFrame) -> DataFrame:
-    """Nine counters of chunk_diff(). Bytes to add and modify are those of the target, to delete those of the source."""
-    is_ = lambda kind: F.col("change_type") == kind
-    total = lambda kind, column: F.coalesce(F.sum(F.when(is_(kind), F.col(column))), F.lit(0)).cast("long")
-    files = changes.agg(F.count_if(is_("Added")).alias("files_added"), F.count_if(is_("Modified")).alias("files_modified"), F.count_if(is_("Deleted")).alias("files_deleted"), F.count_if(is_("MetadataOnly")).alias("metadata_only"), total("Added", "new_size").alias("bytes_to_add"), total("Modified", "new_size").alias("bytes_to_modify"), total("Deleted", "old_size").alias("bytes_to_delete"), F.coalesce(F.sum(F.size("required")), F.lit(0)).cast("long").alias("total_chunks"))
-    unique = changes.select(F.explode("required").alias("hash")).agg(F.count_distinct("hash").alias("unique_chunks"))
-    return files.crossJoin(unique)  # one row each
+    """Nine counters of chunk_diff(), in one pass. Bytes to add and modify are those of the target, to delete those of the
+    source; unique_chunks counts distinct chunks to fetch."""
+    rows = changes.select("change_type", "old_size", "new_size", F.posexplode_outer("required").alias("seq", "hash"))
+    head = F.coalesce(F.col("seq"), F.lit(0)) == 0  # the first row of each change
+    files = lambda kind: F.count_if(head & (F.col("change_type") == kind))
+    size = lambda kind, column: F.coalesce(F.sum(F.when(head & (F.col("change_type") == kind), F.col(column))), F.lit(0)).cast("long")
+    return rows.agg(files("Added").alias("files_added"), files("Modified").alias("files_modified"), files("Deleted").alias("files_deleted"), files("MetadataOnly").alias("metadata_only"), size("Added", "new_size").alias("bytes_to_add"), size("Modified", "new_size").alias("bytes_to_modify"), size("Deleted", "old_size").alias("bytes_to_delete"), F.count("hash").alias("total_chunks"), F.count_distinct("hash").alias("unique_chunks"))
 
 
 def priority(change_type: Column, size: Column) -> Column:

@@ -41,11 +41,25 @@ def merkle_leaves(entries: DataFrame) -> DataFrame:
     return entries.select("path", leaf_hash(*(F.col(c) for c in ("path", "size", "content_hash", "mode", "mtime_s", "chunk_hashes"))).alias("leaf"))
 
 
-def merkle_root(leaves: DataFrame, key: str | None = None) -> DataFrame:
+def _folded(hashes: Column, nodes: Column, levels: int) -> Column:
+    """A block of a tree level after some levels of pairing, and how many nodes the whole level has then.
+
+    An odd node is paired with itself; a level of one node stays as it is.
+    """
+
+    def pairs(a: Column) -> Column:
+        count = F.ceil(F.size(a) / 2).cast("int")
+        return F.transform(F.sequence(F.lit(1), count), lambda i: F.sha2(F.concat(F.unhex(F.element_at(a, 2 * i - 1)), F.unhex(F.coalesce(F.get(a, 2 * i - 1), F.element_at(a, 2 * i - 1)))), 256))
+
+    start = F.struct(hashes.alias("h"), nodes.cast("long").alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, lambda s, _: F.when(s["n"] <= 1, s).otherwise(F.struct(pairs(s["h"]).alias("h"), F.ceil(s["n"] / 2).cast("long").alias("n"))))
+
+
+def merkle_root(leaves: DataFrame, key: str | None = None, levels: int = 10) -> DataFrame:
     """Root for each key (or of all rows): leaves in path order are paired level by level, an odd one with itself.
 
-    Each level is one aggregation of half the rows of the one before. Without leaves and without a key, the root is the
-    hash of nothing.
+    Each aggregation takes aligned blocks of 2**levels nodes up that many levels, so a million leaves need two shuffles and
+    no task holds more than a block. Without leaves and without a key, the root is the hash of nothing.
     """
     by = key or "__all"
     rows = leaves if key else leaves.withColumn(by, F.lit(0))
@@ -53,11 +67,10 @@ def merkle_root(leaves: DataFrame, key: str | None = None) -> DataFrame:
     rows = rows.select(by, (F.row_number().over(w.orderBy("path")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"), F.col("leaf").alias("h"))
     most = leaves.groupBy(key).count().agg(F.max("count")).first()[0] or 0 if key else leaves.count()
     while most > 1:
-        pair = rows.groupBy(by, F.call_function("div", F.col("i"), F.lit(2)).alias("i"), "n").agg(F.max(F.when(F.col("i") % 2 == 0, F.col("h"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("h"))).alias("r"))
-        joined = F.sha2(F.concat(F.unhex("l"), F.unhex(F.coalesce("r", "l"))), 256)
-        # a key that is down to one node keeps it
-        rows = pair.select(by, "i", F.ceil(F.col("n") / 2).cast("long").alias("n"), F.when(F.col("n") == 1, F.col("l")).otherwise(joined).alias("h"))
-        most = -(-most // 2)
+        block = rows.groupBy(by, F.call_function("div", F.col("i"), F.lit(2**levels)).alias("i"), "n").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("t"))
+        up = block.select(by, "i", _folded(F.transform("t", lambda x: x["h"]), F.col("n"), levels).alias("f"))
+        rows = up.select(by, "i", F.col("f.n").alias("n"), F.col("f.h")[0].alias("h"))
+        most = -(-most // 2**levels)
     if key:
         return rows.select(key, F.col("h").alias("root"))
     return rows.agg(F.coalesce(F.max("h"), F.sha2(F.lit("").cast("binary"), 256)).alias("root"))

@@ -71,6 +71,12 @@ def test_merkle_root_for_every_small_size(spark):
         assert manifest.merkle_root(manifest.merkle_leaves(entries(spark, *rows[::-1]))).first().root == plain_root(rows)
 
 
+def test_merkle_root_over_blocks(spark):
+    for n, levels in ((1025, 10), (17, 2), (16, 2), (33, 1), (21, 2)):
+        rows = [entry(f"p{i:05d}", i) for i in range(n)]
+        assert manifest.merkle_root(manifest.merkle_leaves(entries(spark, *rows)), levels=levels).first().root == plain_root(rows)
+
+
 def test_merkle_root_for_each_folder_and_bad_hex(spark):
     rows = [entry("a/1", h="zz"), entry("a/2"), entry("a/3"), entry("b/1")]
     leaves = manifest.merkle_leaves(entries(spark, *rows)).withColumn("folder", scalar.first_component(F.col("path")))
