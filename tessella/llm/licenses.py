@@ -70,7 +70,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     doc_ids get no match. Further columns are ignored; an empty table stays empty.
     """
     spark = documents.sparkSession
-    known = spark.createDataFrame([(s, i) for i, s in SENTENCES], "norm string, sid string")
+    known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(s).alias("norm"), F.lit(i).alias("sid")) for i, s in SENTENCES))).alias("k")).select("k.*")
     cut = documents.select("doc_id", F.posexplode(F.split("text", SENTENCE_END)).alias("pos", "raw"))
     norm = F.trim(F.regexp_replace(F.lower("raw"), NOT_WORD, " "))
     shortest, longest = min(len(s) for _, s in SENTENCES), max(len(s) for _, s in SENTENCES)

@@ -16,9 +16,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .scratch import Scratch
 
@@ -98,13 +97,12 @@ def numbered(df: DataFrame, order: list[str], scratch: Scratch, name: str = "row
     read = scratch.cut(df.withColumn(local, F.monotonically_increasing_id() % 1009))  # else the range sample runs df twice
     dealt = read.repartitionByRange(*by, F.col(local)).sortWithinPartitions(*by)
     kept = scratch.cut(dealt.withColumn(part, F.spark_partition_id()).withColumn(local, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    before, so_far = [], 0
-    for p, size in sorted((r[0], r[1]) for r in kept.groupBy(part).agg(F.count("*")).collect()):  # a row for each partition
-        before.append((p, so_far))
-        so_far += size
-    kind = T.StructType([T.StructField(part, T.IntegerType()), T.StructField("__before", T.LongType())])
-    offsets = F.broadcast(df.sparkSession.createDataFrame(before, kind))
-    return kept.join(offsets, part).withColumn(name, F.col("__before") + F.col(local)).drop(part, local, "__before"), so_far
+    # One row for each partition: few enough for one task to add up, and to broadcast.
+    sizes = scratch.cut(kept.groupBy(part).agg(F.count("*").alias("__n")))
+    before = F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(sizes.select(part, F.coalesce(before, F.lit(0)).alias("__before")))
+    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    return kept.join(offsets, part).withColumn(name, F.col("__before") + F.col(local)).drop(part, local, "__before"), total
 
 
 def feistel_shards(df: DataFrame, order: list[str], shards: int, scratch: Scratch, keys=ROUND_KEYS) -> DataFrame:
