@@ -54,7 +54,8 @@ class Domains:
 
     def __init__(self, texts: pa.Array, window: int):
         self.window = window
-        self.data, self.starts, self.ends, self.hashes, self.before = words(texts)
+        data, self.starts, self.ends, self.hashes, self.before = words(texts)
+        self.text = data.tobytes()
         phrases = windows(self.hashes, PHRASE)
         pick = selected(phrases, window - PHRASE + 1)
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.before))
@@ -82,10 +83,9 @@ class Domains:
         return lists(phrases[new], bounds), lists(domains[new], bounds)
 
     def listed(self, doc: int) -> list[bytes]:
+        """The words of a document."""
         a, b = self.before[doc], self.before[doc + 1]
-        data = self.data.tobytes() if not hasattr(self, "_bytes") else self._bytes
-        self._bytes = data
-        return [data[s:e] for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True)]
+        return [self.text[s:e] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)]
 
 
 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
