@@ -20,24 +20,36 @@ def _star(pairs: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
         moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-    out = scratch.cut(moved.where("u > v").distinct())
+    moved = moved.where("u > v")
+    out = scratch.cut(moved if large else moved.distinct())  # a large star makes no more rows than it reads
     scratch.drop(least)
     return out
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of edges (u, v); the component is its smallest node.
+def contracted(edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
+    """Pairs (u, v), u > v, with the components of edges (u, v), after some rounds of both stars.
 
-    Loops and repeated or reversed edges are allowed; nodes are longs without nulls. The number of rounds grows with the
-    logarithm of the longest path, and no round gathers the neighbours of a node in one place.
+    Without a number of rounds, until every u has one v, its component's smallest node. After fewer, the smallest v of a
+    u still is a node that u is connected with. Loops and repeated or reversed edges are allowed; nodes are longs without
+    nulls. No round gathers the neighbours of a node in one place.
     """
     now = scratch.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not _is_star_forest(now):
+    done = 0
+    while done < rounds if rounds is not None else not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide = _star(both, scratch, True)
         small = _star(wide, scratch, False)
         scratch.drop(wide, now)
-        now = small
+        now, done = small, done + 1
+    return now
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for every node of edges (u, v); the component is its smallest node.
+
+    The number of rounds grows with the logarithm of the longest path.
+    """
+    now = contracted(edges, scratch)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, contracted
 from .scratch import Scratch, small_batches
 from .text_arrays import U, mix, slices, windows, words
 
@@ -196,23 +196,22 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
             near = near.join(known.select(F.col("rep").alias(end), F.col("items").alias(f"items_{end}")), end)
         return near.mapInArrow(confirmed(percent), "u long, v long")
 
-    def as_edges(comp: DataFrame) -> DataFrame:
-        return comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
-
     # Rows that share a doc_id but not a text join their classes.
     several = scratch.cut(docs.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"))
     edges = docs.join(several, "doc_id").select(F.col("rep").alias("u"), F.col("lo").alias("v"))
     hub = scratch.cut(members.groupBy("bucket").agg(F.min("rep").alias("rep")).join(reps.select("rep", "n", *sketch), "rep"))
     star = side(members, "u").join(side(hub, "v"), "bucket").where(f"u <> v and {possible}")
-    comp = scratch.cut(components(edges.unionByName(links(star.select("u", "v"))), scratch))
+    # Two rounds connect nearly all that one hub links; who is told apart wrongly is only compared once more.
+    linked = contracted(edges.unionByName(links(star.select("u", "v"))), scratch, rounds=2)
+    comp = linked.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
 
-    now = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = members.join(scratch.cut(comp), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     now = scratch.cut(now)
     apart = scratch.cut(now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo < hi").select("bucket", "hub"))
     still = scratch.cut(now.join(apart, "bucket"))
     few, many = still.where(F.col("members") <= SMALL).drop("hub"), still.where(F.col("members") > SMALL)
     pairs = side(few, "u").join(side(few, "v"), "bucket").where(f"u < v and ucomponent <> vcomponent and {possible}")
-    edges = as_edges(comp).unionByName(links(pairs.select("u", "v")))
+    edges = linked.unionByName(links(pairs.select("u", "v")))
     if not many.isEmpty():
         clusters = scratch.cut(components(many.select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch))
         rows = many.select("rep", "component").distinct().join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "rep")
