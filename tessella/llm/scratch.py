@@ -48,10 +48,12 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a session that has set a size keeps it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) >= 10000:
-        spark.conf.set(key, "512")
+    """Keep Arrow batches of whole texts small, by rows and by bytes; a session that has set a size keeps it."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) >= 10000:
+        spark.conf.set(rows, "512")
+    if spark.conf.get(size, "64MB") in ("64MB", "67108864b"):
+        spark.conf.set(size, "16m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
