@@ -8,8 +8,11 @@
    take part with as much weight in total as the corpus. The matrix has one row for each vocabulary word, so its size is
    bounded by the block of benchmark items, not by the corpus.
 4. Every passage, one starting every ``STEP`` words, is projected and compared with all items by cosine.
-5. Around each local maximum above the threshold, the longest common subsequence of item and words must cover enough of
-   the item, and also enough of its answer (its last sentence). So paraphrases that keep the order of most words count.
+5. Every run of ``GRAM`` words that a document shares with an item is a candidate as well, whatever its cosine: in a large
+   benchmark the other vocabulary words of a passage hide a short item. So each verbatim copy is a candidate.
+6. Around each local maximum above the threshold and each shared run, the longest common subsequence of item and words
+   must cover enough of the item, and also enough of its answer (its last sentence). So paraphrases that keep the order of
+   most words count.
 
 Items shorter than ``SHORT`` words say too little for that; they must stand in a document word for word.
 """
@@ -28,6 +31,7 @@ from .scratch import Scratch, small_batches
 from .text_arrays import BYTE_VALUE, raw, runs, slices, spans, windows
 
 PASSAGE, STEP, RANK, SHORT, FREQUENT = 48, 16, 64, 8, 192
+GRAM, SHARED = 3, 32
 BLOCKS = PASSAGE // STEP
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -206,6 +210,56 @@ def bit_masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+class Grams:
+    """Runs of GRAM words of the items that are not short.
+
+    A run that more than SHARED items have says little and leads to few of them: only to those that have no rarer one. So
+    every item keeps a run, and a verbatim copy of it is met, while boilerplate of many items costs little.
+    """
+
+    def __init__(self, words: list[np.ndarray]):
+        own = [i for i, w in enumerate(words) if len(w) >= SHORT]
+        sizes = np.array([len(words[i]) for i in own], np.int64)
+        flat = np.concatenate([words[i] for i in own] or [np.zeros(0, np.int64)])
+        item, at = np.repeat(own, sizes).astype(np.int64), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = np.flatnonzero(at + GRAM <= np.repeat(sizes, sizes))
+        hashes, item, at = windows(flat.astype(np.uint64) + np.uint64(1), GRAM)[inside], item[inside], at[inside]
+        _, number = np.unique(hashes, return_inverse=True)
+        having = np.bincount(np.unique(np.stack([number, item]), axis=1)[0])[number] if len(number) else number
+        least = np.full(len(words), np.iinfo(np.int64).max)
+        np.minimum.at(least, item, having)
+        kept = np.flatnonzero((having <= SHARED) | (having == least[item]))
+        rarest = kept[having[kept] > SHARED]  # one for each item that has no other
+        kept = np.union1d(kept[having[kept] <= SHARED], rarest[np.unique(item[rarest], return_index=True)[1]])
+        kept = kept[np.argsort(hashes[kept], kind="stable")]
+        self.item, self.at = item[kept], at[kept]
+        self.keys, self.first, self.n = np.unique(hashes[kept], return_index=True, return_counts=True)
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[self.slot(self.keys)] = True
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.bits) - 1)).astype(np.int64)
+
+    def met(self, numbers: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int]]:
+        """Document, item and the place where the item would begin, once for STEP neighbouring places; in order of documents."""
+        rolled = windows(numbers.astype(np.uint64) + np.uint64(1), GRAM)
+        places = np.flatnonzero(self.bits[self.slot(rolled)])
+        key = np.searchsorted(self.keys, rolled[places])
+        same = key < len(self.keys)
+        same[same] = self.keys[key[same]] == rolled[places[same]]
+        places, key = places[same], key[same]
+        doc = np.searchsorted(before, places, side="right") - 1
+        inside = places + GRAM <= before[doc + 1]
+        places, key, doc = places[inside], key[inside], doc[inside]
+        n = self.n[key]
+        entry = np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc, item, begin = np.repeat(doc, n), self.item[entry], np.repeat(places, n) - self.at[entry]
+        order = np.lexsort((begin, item, doc))
+        doc, item, begin = doc[order], item[order], begin[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] // STEP != begin[:-1] // STEP))[: len(doc)]
+        return list(zip(doc[new].tolist(), item[new].tolist(), begin[new].tolist(), strict=True))
+
+
 def retrieved(items: Items, idf: np.ndarray, projection: np.ndarray, cosine: float, overlap: float, answer: float):
     """For mapInArrow: confirmed pairs of documents and items."""
 
@@ -225,7 +279,8 @@ def retrieved(items: Items, idf: np.ndarray, projection: np.ndarray, cosine: flo
         for i, w in enumerate(items.words):
             if len(w) < SHORT:
                 short.setdefault(len(w), {}).setdefault(int(windows(w.astype(np.uint64) + np.uint64(1), len(w))[0]), []).append(i)
-        sums, present = Sums(idf), np.zeros(size + 1, bool)
+        sums, grams, present = Sums(idf), Grams(items.words), np.zeros(size + 1, bool)
+        query_of = np.searchsorted(of, np.arange(len(items.words) + 1))
         farthest = max(map(len, items.words)) // 2 + STEP
         for batch, numbers, before in unpacked(batches, size):
             best: dict[tuple[int, int], tuple] = {}
@@ -263,6 +318,24 @@ def retrieved(items: Items, idf: np.ndarray, projection: np.ndarray, cosine: flo
                         best[doc, i] = (float(near[b, j]), share, told, int(low - before[doc]), int(end - before[doc]))
                 if last >= 0:
                     present[around] = False
+                for doc, i, begin in grams.met(numbers, before):
+                    item = items.words[i]
+                    reach = len(item) // 2 + STEP
+                    low, end = max(int(before[doc]), begin - reach), min(int(before[doc + 1]), begin + len(item) + reach)
+                    around = numbers[low:end]
+                    present[around] = True
+                    enough = np.count_nonzero(present[item]) >= overlap * len(item)
+                    present[around] = False
+                    if not enough:
+                        continue
+                    region = around.tolist()
+                    share = common(region, masks[i][0], len(item)) / len(item)
+                    if share < overlap or share <= best.get((doc, i), (0, 0))[1]:
+                        continue
+                    told = common(region, masks[i][1], len(items.answers[i])) / len(items.answers[i])
+                    if told >= answer:
+                        blocks = slice(int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, end)))
+                        best[doc, i] = (float(near[blocks, query_of[i] : query_of[i + 1]].max()), share, told, int(low - before[doc]), int(end - before[doc]))
             for length, wanted in short.items():
                 rolled = windows(numbers.astype(np.uint64) + np.uint64(1), length)
                 for at in np.flatnonzero(np.isin(rolled, np.array(list(wanted), np.uint64))).tolist():
@@ -286,6 +359,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def contaminated(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.5, overlap: float = 0.7, answer: float = 0.5, block: int = 20000) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer, first_word, end_word.
 
+    cosine is that of the passage there, which may be below the threshold where a shared run of words led to the item.
     lcs and answer are the shares of the item and of its answer that the words from first_word to end_word have in order.
     The benchmark is checked for size: beyond ``block`` items it is taken in blocks, each with its own search. Null and
     empty texts and items, and null item_ids, match nothing; null doc_ids are reported as such; repeated rows are reported

@@ -70,3 +70,28 @@ def test_query_finds_every_verbatim_item(spark, small):
     items = spark.read.parquet(f"{small}/benchmark.parquet").collect()
     truth = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in (d.text or "")}
     assert truth <= {(r.doc_id, r.item_id) for r in queries.op8_latent_decontamination(spark, small).collect()}
+
+
+def test_short_verbatim_items_of_a_large_benchmark(spark, small):
+    """Items of 8 to 23 words cut from documents are found where they were cut, however many there are."""
+    rng = random.Random(6)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text and len(r.text.split()) >= 60]
+    items, truth = [], set()
+    for i in range(2000):
+        doc, text = rng.choice(docs)
+        text, size = text.split(), rng.randrange(8, 24)
+        at = rng.randrange(len(text) - size)
+        items.append((i, " ".join(text[at : at + size]), ""))
+        truth.add((doc, i))
+    out = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)).collect()
+    assert truth <= {(r.doc_id, r.item_id) for r in out if r.lcs == 1}
+
+
+def test_items_of_boilerplate_keep_a_run():
+    import numpy as np
+
+    same = [np.arange(12) for _ in range(100)]
+    grams = decontamination.Grams([*same, np.arange(50, 53)])
+    assert sorted(i for _, i, _ in grams.met(np.arange(12), np.array([0, 12]))) == list(range(100))
+    assert grams.met(np.arange(12), np.array([0, 2, 4, 6, 8, 10, 12])) == []
+    assert decontamination.Grams([]).met(np.arange(5), np.array([0, 5])) == []
