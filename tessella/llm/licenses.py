@@ -1,14 +1,16 @@
 """Licence recognition by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences, each is normalised (lower case; every run of other signs than letters and digits is one
-space) and mapped to the identifier of a known licence sentence. What is left of a document is a short sequence of
+A text is cut into pieces at sentence ends and line breaks, each is normalised (lower case; every run of other signs than
+letters and digits is one space), and every stretch of pieces that together are a known licence sentence is mapped to its
+identifier: hard-wrapped lines, "free software: you can" and "v. 2.0" are cuts within a sentence. Of overlapping stretches
+the first counts, then the longest. What is left of a document is a short sequence of
 identifiers in text order. Ordered rules are matched against that sequence: a rule matches where its identifiers stand
 next to each other, and uses them up, so that a rule for a whole licence text comes before rules for single sentences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,8 @@ SENTENCES = [
     ("cc0", "this work is dedicated to the public domain under cc0 1 0"),
     ("rights-reserved", "all rights reserved"),
 ]
+# Further wordings of sentences above, as whole licence headers have them.
+HEADER_FORMS = [("apache2-under", "licensed under the apache license version 2 0 the license")]
 # Licence, identifiers in order; earlier rules come first.
 RULES = [
     ("MIT", ["mit-title", "mit-grant", "mit-notice", "as-is"]),
@@ -58,7 +62,12 @@ RULES = [
     ("proprietary", ["rights-reserved"]),
 ]
 SENTENCE_END = r"[.!?;:]+\s+|[\r\n]+"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+CUT = "\n"  # every line break of a text is a cut, so this sign is free to mark all cuts
+NOT_WORD_OR_CUT = r"[^\p{L}\p{N}\n]+"
+
+
+def count_cuts(x: Column) -> Column:
+    return F.length(x) - F.length(F.replace(x, F.lit(CUT), F.lit("")))
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
@@ -69,13 +78,19 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     also for null and empty texts. Rows that share a doc_id are scanned as one document and get equal results; null
     doc_ids get no match. Further columns are ignored; an empty table stays empty.
     """
-    spark = documents.sparkSession
-    known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(s).alias("norm"), F.lit(i).alias("sid")) for i, s in SENTENCES))).alias("k")).select("k.*")
-    cut = documents.select("doc_id", F.posexplode(F.split("text", SENTENCE_END)).alias("pos", "raw"))
-    norm = F.trim(F.regexp_replace(F.lower("raw"), NOT_WORD, " "))
-    shortest, longest = min(len(s) for _, s in SENTENCES), max(len(s) for _, s in SENTENCES)
-    cut = cut.where(F.length("raw") >= shortest).select("doc_id", "pos", norm.alias("norm")).where(F.length("norm").between(shortest, longest))
-    met = cut.join(F.broadcast(known), "norm")  # a fixed table of SENTENCES
+    known = sorted(SENTENCES + HEADER_FORMS, key=lambda k: -len(k[1]))  # the longest first
+    stretch = CUT + "(?:" + "|".join(s.replace(" ", f"[ {CUT}]+") for _, s in known) + f")(?={CUT})"
+    pieces = F.concat(F.lit(CUT), F.regexp_replace(F.lower("text"), SENTENCE_END, CUT), F.lit(CUT))
+    pieces = F.replace(F.replace(F.regexp_replace(pieces, NOT_WORD_OR_CUT, " "), F.lit(" " + CUT), F.lit(CUT)), F.lit(CUT + " "), F.lit(CUT))
+    marked = documents.where("doc_id is not null").select("doc_id", pieces.alias("pieces")).where(F.col("pieces").rlike(stretch))
+    halves = marked.select("doc_id", F.regexp_extract_all("pieces", F.lit(stretch), F.lit(0)).alias("hits"), F.split("pieces", stretch).alias("between"))
+    cuts = F.transform(F.arrays_zip("hits", "between"), lambda x: F.struct(x["hits"].alias("hit"), count_cuts(x["between"]).alias("before"), count_cuts(x["hits"]).alias("own")))
+    each = halves.select("doc_id", F.posexplode(F.slice(cuts, F.lit(1), F.size("hits"))).alias("nth", "hit"), cuts.alias("cuts"))
+    earlier = F.aggregate(F.slice("cuts", F.lit(1), F.col("nth")), F.lit(0), lambda n, x: n + x["before"] + x["own"])
+    ids = F.create_map(*(F.lit(x) for i, s in known for x in (s, i)))
+    norm = F.trim(F.regexp_replace("hit.hit", f"[ {CUT}]+", " "))
+    # the piece that a stretch begins with, counted from 0; an empty first piece counts too
+    met = each.select("doc_id", (earlier + F.col("hit.before")).alias("pos"), ids[norm].alias("sid"))
     kind = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("sid", T.StringType())]))
     ordered = met.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "sid"))).cast(kind).alias("found"))
     rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("," + "".join(f"{s}," for s in ids)).alias("ids")) for name, ids in RULES))
@@ -97,7 +112,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for the rows of scan_licenses(documents)."""
+    """DuckDB SQL for the rows of scan_licenses(documents), where each licence sentence is one piece and no header form occurs."""
     known = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES)
     steps, last = "", "s0"
     for k, (_, ids) in enumerate(RULES, 1):

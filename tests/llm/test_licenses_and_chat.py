@@ -19,6 +19,60 @@ def test_rules_in_order_use_sentences_up(spark):
     assert texts and got == {1: (4, "MIT"), 2: (1, "MIT"), 3: (2, "Apache-2.0,proprietary"), 4: (0, ""), 5: (2, "GPL-3.0-or-later"), 6: (2, "MIT")}
 
 
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+
+
+def test_wrapped_notices(spark):
+    rows = [(1, GPL), (2, MPL), (3, APACHE), (4, MIT.replace("\n", "\r\n")), (5, BSD), (6, GPL.replace("\n    ", "\n#\n# ")), (7, "a. " + MIT + "\n" + MPL), (8, "this work is\nlicensed under the GNU General Public License, version 3.")]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gpl, mit = ("gpl-free,gpl-hope", "GPL-3.0-or-later"), "mit-title,mit-grant,mit-notice,as-is"
+    assert got == {1: gpl, 2: ("mpl2-subject", "MPL-2.0"), 3: ("apache2-under,apache2-may-not,apache2-obtain", "Apache-2.0"), 4: (mit, "MIT"), 5: ("bsd-redistribution", "BSD"), 6: gpl, 7: (mit + ",mpl2-subject", "MIT,MPL-2.0"), 8: ("gpl3-work", "GPL-3.0")}
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    rows = [(1, "x. y. MIT License"), (1, "Licensed under CC BY 4.0.\n\nAll rights reserved."), (None, "MIT License")]
+    got = [(r.doc_id, r.sentence_ids) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(1, "cc-by-4,rights-reserved,mit-title")] * 2 + [(None, "")]
+
+
 def test_odd_documents(odd, none):
     rows = licenses.scan_licenses(odd).collect()
     assert len(rows) == 11 and {(r.n_sentences, r.sentence_ids, r.licenses) for r in rows} == {(0, "", "")}
