@@ -16,9 +16,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..numbering import numbered
 from .scratch import Scratch
 
 ROUND_KEYS = (748183, 520397, 917629, 265003)
@@ -86,25 +87,6 @@ def permuted(number: Column, n: int, keys=ROUND_KEYS) -> Column:
     return F.aggregate(walk, F.lit(-1).cast("long"), lambda got, _: F.when((got >= 0) & (got < n), got).otherwise(permute_once(F.when(got < 0, number).otherwise(got), a, b, keys)))
 
 
-def numbered(df: DataFrame, order: list[str], scratch: Scratch, name: str = "row_number") -> tuple[DataFrame, int]:
-    """df with a gapless global number in the given order (nulls first), and the number of rows.
-
-    A range exchange deals the rows, each partition counts its own, and one count for each partition is added up. Rows
-    that are equal in all columns of the order are dealt over several partitions, so no repeated value fills one task.
-    """
-    part, local = f"__{name}_part", f"__{name}_local"
-    by = [F.col(f"`{c}`").asc_nulls_first() for c in order]
-    read = scratch.cut(df.withColumn(local, F.monotonically_increasing_id() % 1009))  # else the range sample runs df twice
-    dealt = read.repartitionByRange(*by, F.col(local)).sortWithinPartitions(*by)
-    kept = scratch.cut(dealt.withColumn(part, F.spark_partition_id()).withColumn(local, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    # One row for each partition: few enough for one task to add up, and to broadcast.
-    sizes = scratch.cut(kept.groupBy(part).agg(F.count("*").alias("__n")))
-    before = F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = F.broadcast(sizes.select(part, F.coalesce(before, F.lit(0)).alias("__before")))
-    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    return kept.join(offsets, part).withColumn(name, F.col("__before") + F.col(local)).drop(part, local, "__before"), total
-
-
 def feistel_shards(df: DataFrame, order: list[str], shards: int, scratch: Scratch, keys=ROUND_KEYS) -> DataFrame:
     """df with row_number, shard and slot. An empty table stays empty."""
     rows, n = numbered(df, order, scratch)

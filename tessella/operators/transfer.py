@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..numbering import numbered
+from ..scratch import Scratch
 from .series import first_write, last_write
 
 
@@ -59,6 +61,12 @@ def stream_queue(requests: DataFrame, most: int) -> DataFrame:
     return requests.orderBy(F.col("priority").desc(), F.col("seq").asc()).limit(most)
 
 
+def stream_order(requests: DataFrame, scratch: Scratch) -> DataFrame:
+    """The whole queue: every request with its rank, counted from 1, in the order of stream_queue."""
+    rows, _ = numbered(requests.withColumn("__down", -F.col("priority")), ["__down", "seq"], scratch, "rank")
+    return rows.withColumn("rank", F.col("rank") + 1).drop("__down")
+
+
 def chunk_states(events: DataFrame) -> DataFrame:
     """Completed, pending and failed chunks of each session from ordered events.
 

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import manifest, metrics, state_tables, store, transfer
-from ..sources.files import as_json, walk_order
+from ..scratch import Scratch
+from ..sources.files import as_json, walk_order, walk_ranks
 from ..sources.views import EPOCH
 from .registry import query
 
@@ -28,6 +29,19 @@ def walk_page(v):
     return page.select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("rank"))
 
 
+@query("select id, priority, row_number() over (order by priority desc, id) as rank from (select id, part % 256 as priority from pending) x", ["pending"])
+def stream_order(v):
+    """The whole queue; stream_queue is its head."""
+    requests = v.pending().select("id", (F.col("part") % 256).alias("priority"), F.col("id").alias("seq"))
+    return transfer.stream_order(requests, Scratch(v.spark, "stream-order")).select("id", "priority", "rank")
+
+
+@query("select path, row_number() over (order by string_split(path, '/')) as rank from files", ["files"])
+def walk_paths(v):
+    """Every path in the order of a folder walk; walk_page is its first page."""
+    return walk_ranks(v.files().select("path"), Scratch(v.spark, "walk")).select("path", "rank")
+
+
 @query("select session_id from sessions where status = 'Interrupted' and retries > 0", ["sessions"])
 def resumable_sessions(v):
     pending = F.when(F.col("retries") > 0, F.array(F.lit("c"))).otherwise(F.array().cast("array<string>"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import INDEXER_IGNORED, ignored
+from ..numbering import numbered
 from ..operators.chunking import ChunkerConfig, chunks
 from ..operators.manifest import file_hash
 from ..operators.store import with_shard
 from ..schemas import TABLES
+from ..scratch import Scratch
 
 
 def scan(spark: SparkSession, folder: str, patterns: Sequence[str] = INDEXER_IGNORED, content: bool = True) -> DataFrame:
@@ -32,6 +34,12 @@ def walk_order(files: DataFrame) -> DataFrame:
     return files.orderBy(F.split("path", "/"))
 
 
+def walk_ranks(files: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every file with its rank, counted from 1, in the order of walk_order."""
+    rows, _ = numbered(files.withColumn("__parts", F.split("path", "/")), ["__parts"], scratch, "rank")
+    return rows.withColumn("rank", F.col("rank") + 1).drop("__parts")
+
+
 def index_folder(spark: SparkSession, folder: str, config: ChunkerConfig | None = None, patterns: Sequence[str] = INDEXER_IGNORED) -> DataFrame:
     """The manifest of a folder: path, size, mtime, content_hash, chunk_hashes."""
     files = scan(spark, folder, patterns)
