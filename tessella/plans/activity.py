@@ -294,6 +294,12 @@ def peer_ttl(v):
     return retention.present_peers(v.sessions().where("session_id % 2 = 0").withColumnRenamed("updated_s", "last_seen_s"), EPOCH, 86400 * 9000).select("session_id")
 
 
+@query(f"select session_id from sessions where {EPOCH} - updated_s < 86400 * 9000", ["sessions"])
+def present_peers(v):
+    """All present peers; peer_ttl is a sample of them."""
+    return retention.present_peers(v.sessions().withColumnRenamed("updated_s", "last_seen_s"), EPOCH, 86400 * 9000).select("session_id")
+
+
 @query(f"select session_id, status from sessions where not (status = 'Completed' and {EPOCH} - updated_s > 9000 * 86400)", ["sessions"])
 def session_retention(v):
     return retention.kept_sessions(v.sessions(), EPOCH, 9000).select("session_id", "status")

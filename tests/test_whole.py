@@ -12,3 +12,12 @@ def test_whole_walk_and_queue(spark, small):
     queue = sorted(QUERIES["stream_order"](spark, small).collect(), key=lambda r: r["rank"])
     assert len(queue) == v.pending().count() > 25 and [r["rank"] for r in queue] == list(range(1, len(queue) + 1))
     assert [(r.id, r.priority) for r in queue[:25]] == [(r.id, r.priority) for r in QUERIES["stream_queue"](spark, small).collect()]
+
+
+def test_all_peers_and_manifests(spark, small):
+    v = Views(spark, small)
+    present = {r.session_id for r in QUERIES["present_peers"](spark, small).collect()}
+    every = {r.session_id for r in v.sessions().collect()}
+    assert {s % 2 for s in present} == {0, 1} and present < every
+    assert {r.session_id for r in QUERIES["peer_ttl"](spark, small).collect()} < present
+    assert sorted(r.path for r in QUERIES["manifest_files"](spark, small).collect()) == sorted(r.path for r in v.files().collect())
