@@ -7,6 +7,7 @@ as Parquet and read again as the next stage's docs. All stages but the last retu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.decontamination import contaminated
 from tessella.llm.near_dedup import near_duplicates
@@ -15,6 +16,7 @@ from tessella.llm.passages import without_repeats
 from tessella.llm.quality import accept_quality
 from tessella.llm.queries import tokenizer_path
 from tessella.llm.scratch import Scratch, table
+from tessella.numbering import numbered
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +25,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows are decided one by one, by a number in the order of doc_id, so null and repeated doc_ids count as any other.
+    """
+    scratch = Scratch(spark, "near-dedup-rows")
+    rows = scratch.cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    ranks, _ = numbered(rows.select("doc_id", "__row"), ["doc_id", "__row"], scratch, "__key")
+    keyed = scratch.cut(rows.join(ranks.select("__row", "__key"), "__row"))
+    scratch.drop(rows)
+    gone = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, percent=80).where("not kept").select(F.col("doc_id").alias("__key"))
+    return keyed.join(gone, "__key", "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +45,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = Scratch(spark, "decontamination-rows").cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(found, "__row", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

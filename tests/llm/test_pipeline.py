@@ -34,3 +34,14 @@ def test_odd_documents_pass_through(spark, odd, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = scratch.cut(stage(spark, docs, small))
     assert docs.count() > 0
+
+
+def test_rows_of_null_and_repeated_doc_ids_are_decided_one_by_one(spark, small):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = " ".join(f"w{i}" for i in range(80))
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(None, prose), (None, prose), (7, prose), (7, prose), (8, item), (8, "clean words"), (None, item), (9, "")]], schema)
+    unique = corpus_pipeline.near_dedup(spark, docs, small).collect()
+    assert sum(r.text == prose for r in unique) == 1 and sum(r.text == item for r in unique) == 1
+    clean = corpus_pipeline.decontaminate(spark, docs, small).collect()
+    assert sorted((str(r.doc_id), r.text) for r in clean) == sorted([("None", prose)] * 2 + [("7", prose)] * 2 + [("8", "clean words"), ("9", "")])
