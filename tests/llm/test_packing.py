@@ -13,10 +13,36 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
 
 
+def ids(text):
+    return TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80) | st.text("aZ éß'ts 19<|endoftext|>\n\t!漢😀", max_size=120))
-def test_ids_equal_the_named_library(text):
-    assert packing.encoder(PATH)(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+def test_ids_equal_the_plain_call(text):
+    assert packing.encoder(PATH).many([text])[0].tolist() == ids(text)
+
+
+RUNS = st.lists(st.tuples(st.sampled_from([" ", "\n", "\t", "a", "漢", "!", "9", "<|endoftext|>", " x", "\u00a0", "'s"]), st.integers(1, 400)), max_size=6)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(RUNS, max_size=4))
+def test_blocks_and_forgetting_change_no_id(texts):
+    made = ["".join(x * n for x, n in runs) for runs in texts]
+    before = packing.BLOCK, packing.KNOWN
+    packing.BLOCK, packing.KNOWN = 50, 3
+    try:
+        assert [x.tolist() for x in packing.encoder(PATH).many(made)] == [ids(t) for t in made]
+    finally:
+        packing.BLOCK, packing.KNOWN = before
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "a", "ab ", "<|endoftext|>"])
+def test_very_long_runs(spark, sign):
+    text = sign * (3_000_000 // len(sign))
+    rows = packing.pack_documents(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string"), PATH).collect()
+    check(rows, {1: text, 2: "a b"})
 
 
 def check(rows, texts):
@@ -25,14 +51,14 @@ def check(rows, texts):
     for r in rows:
         docs.setdefault(r.doc_id, []).append(r)
     for doc_id, text in texts.items():
-        ids = [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2]
+        own = [*ids(text or ""), 2]
         pieces = sorted(docs[doc_id], key=lambda r: r.piece)
-        assert [r.piece for r in pieces] == list(range(len(pieces))) and len(pieces) == -(-len(ids) // 1024)
+        assert [r.piece for r in pieces] == list(range(len(pieces))) and len(pieces) == -(-len(own) // 1024)
         at = 0
         for r in pieces:
-            assert r.start == at and zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()) == r.ids_crc32
+            assert r.start == at and zlib.crc32(np.array(own[at : at + r.length], "<u4").tobytes()) == r.ids_crc32
             at += r.length
-        assert at == len(ids) and all(r.length == 1024 for r in pieces[1:])
+        assert at == len(own) and all(r.length == 1024 for r in pieces[1:])
     sequences = {}
     for r in rows:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
