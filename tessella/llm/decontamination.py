@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch
 from .text_arrays import BYTE_VALUE, raw, runs, slices, spans, windows
 
 PASSAGE, STEP, RANK, SHORT, FREQUENT = 48, 16, 64, 8, 192
@@ -92,7 +92,7 @@ def numbered_words(vocabulary: np.ndarray):
 def unpacked(batches: Iterable[pa.RecordBatch], size: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the written numbers: the rows, all numbers, and how many are before each document."""
     kind = np.uint16 if size < 65535 else np.uint32
-    for batch in slices(batches, "words", most * np.dtype(kind).itemsize):
+    for batch in slices(batches, "words", most=most * np.dtype(kind).itemsize):
         data, at = raw(batch.column("words").cast(pa.large_binary()))
         yield batch, np.frombuffer(data.tobytes(), kind).astype(np.int64), at // np.dtype(kind).itemsize
 
@@ -366,7 +366,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.5
     each; further columns are ignored. Without documents or items the result is empty.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "decontamination")
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-rows.count() // block))

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import id_remainder, one_of_each
-from .scratch import small_batches
 from .text_arrays import LOWER, raw, slices
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS, BLOCK = 128, 16, 16, (2, 3, 4), 64
@@ -150,7 +149,6 @@ def identify_language(documents: DataFrame, modulus: int = 4, held: int = 2, per
     are predicted but never learned from; repeated rows get equal predictions; ties go to the first language in order;
     further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(documents.sparkSession)
     network = fit_language(documents, modulus, held, per_language)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,17 +5,19 @@ document with a smaller doc_id. Windows are not compared one by one; they are re
 
 1. Winnowing: every window selects one of its phrases of ``PHRASE`` words, that with the smallest hash (the first on
    ties). Equal windows select equal phrases. The windows of a document that select the same phrase are neighbours; their
-   words together are the phrase's domain.
-2. Confirming: a phrase recurs if two documents select it. A domain whose word sequence also is a domain of a smaller
-   document is removed whole. A domain that is the first of its kind but whose phrase has other domains too is open: some
-   of its windows may recur.
-3. Automata: documents with removed or open domains come in shards (slices of Arrow batches). Each shard compiles an
-   Aho-Corasick automaton of the recurring phrases that its documents need and streams all its documents through it.
-   Every occurrence marks the windows around it; no other window is looked at.
-4. Windows of open domains are compared one by one by their hashes: the smallest doc_id of each is an aggregation, never a
-   group in one place.
-
-So each document passes one automaton, of the size of its shard, however large the corpus is.
+   words together are a passage.
+2. Confirming: a phrase recurs if passages of two documents selected it. A passage that also is one of a smaller document
+   is to be removed whole; one that is the first of its kind while its phrase has other kinds is open: some of its windows
+   may recur. Phrases are compared as texts, passages by 128-bit BLAKE2 digests of their bytes.
+3. Automata: every document streams through an Aho-Corasick automaton of confirmed phrases. The automata are sharded: one
+   for each slice of documents, compiled from the confirmed phrases that winnowing has found for documents of that slice,
+   so its size follows the slice, however many phrases the corpus has, and no occurrence is missed. A hit gives the place
+   of a phrase; there, the bytes are compared with the document's confirmed passages of that phrase. Words are removed, and
+   open windows looked at, only around hits: an empty automaton removes nothing.
+4. Windows of open passages are compared one by one by their digests: the smallest doc_id of each is an aggregation, never
+   a group in one place.
+
+Long texts are surveyed in blocks that overlap by a window, which may split a passage; its windows are then open.
 """
 
 from __future__ import annotations
@@ -29,10 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
-from .text_arrays import mix, slices, spans, windows, words
+from .scratch import Scratch
+from .text_arrays import BLOCK, Words, blocks, raw, slices, values, windows
 
-PHRASE = 8
+PHRASE, STREAM = 8, 1 << 18
+SURVEY = "doc_id long, passage binary, phrase binary, at int, n int"
+LOCATED = "doc_id long, n_words long, sha string, text string, gone binary, places binary, hashes array<binary>"
+
+
+def digest(words: memoryview) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
 
 
 def selected(phrases: np.ndarray, count: int) -> np.ndarray:
@@ -49,105 +57,109 @@ def selected(phrases: np.ndarray, count: int) -> np.ndarray:
     return best[:n]
 
 
-class Domains:
-    """Of each text of a slice: words, windows, and the domains that its windows fall into."""
-
-    def __init__(self, texts: pa.Array, window: int):
-        self.window = window
-        data, self.starts, self.ends, self.hashes, self.before = words(texts)
-        self.text = data.tobytes()
-        phrases = windows(self.hashes, PHRASE)
-        pick = selected(phrases, window - PHRASE + 1)
-        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.before))
-        whole = self.owner[window - 1 :] == self.owner[: len(self.owner) - window + 1] if len(self.owner) >= window else np.zeros(0, bool)
-        at = np.flatnonzero(whole)  # starts of windows inside one document
-        new = np.ones(len(at), bool)
-        if len(at):
-            new[1:] = (pick[at[1:]] != pick[at[:-1]]) | (self.owner[at[1:]] != self.owner[at[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        self.first, self.last = at[first], at[last] if len(at) else at  # first and last window of each domain
-        self.phrase_at = pick[self.first]
-        self.phrase = phrases[self.phrase_at].view(np.int64) if len(first) else np.zeros(0, np.int64)
-        self.domain = mix(spans(self.hashes, self.first, self.last + window)).view(np.int64) if len(first) else self.phrase
-        self.bounds = np.searchsorted(self.first, self.before)  # domains before each document
-
-    def distinct(self) -> tuple[pa.Array, pa.Array]:
-        """Phrases and domains of each document, without repetitions."""
-        owner = np.repeat(np.arange(len(self.before) - 1), np.diff(self.bounds))
-        order = np.lexsort((self.domain, owner))
-        owner, phrases, domains = owner[order], self.phrase[order], self.domain[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (domains[1:] != domains[:-1])
-        bounds = np.searchsorted(owner[new], np.arange(len(self.before)))
-        return lists(phrases[new], bounds), lists(domains[new], bounds)
-
-    def listed(self, doc: int) -> list[bytes]:
-        """The words of a document."""
-        a, b = self.before[doc], self.before[doc + 1]
-        return [self.text[s:e] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)]
-
-
-def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """The values of each document as a list."""
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+def passages(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, end and place of the selected phrase of each passage."""
+    numbers, different = words.numbers()
+    pick = selected(windows(values(different)[numbers], PHRASE), window - PHRASE + 1)
+    owner = words.owner()
+    whole = owner[window - 1 :] == owner[: len(owner) - window + 1] if len(owner) >= window else np.zeros(0, bool)
+    at = np.flatnonzero(whole)  # starts of windows inside one text
+    new = np.ones(len(at), bool)
+    new[1:] = (pick[at[1:]] != pick[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return owner[at[first]], at[first], at[last] + window, pick[at[first]]
 
 
 def surveyed(window: int):
-    """For mapInArrow: words, checksum, and the phrases and domains of each document, each once."""
+    """For mapInArrow: the passages of each document, each once, with their phrase."""
+
+    def found(ids: pa.Array, words: Words) -> pa.RecordBatch:
+        seen: set[tuple[int, bytes]] = set()
+        rows = []
+        for doc, first, end, phrase in zip(*(x.tolist() for x in passages(words, window)), strict=True):
+            key = (doc, digest(words.run(first, end)))
+            if key not in seen:
+                seen.add(key)
+                rows.append((*key, bytes(words.run(phrase, phrase + PHRASE)), phrase - first, end - first))
+        doc, *columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
+        arrays = [ids.take(pa.array(doc, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "passage", "phrase", "at", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = Domains(batch.column("text"), window)
-            sums = [hashlib.sha256(b" ".join(found.listed(i))).hexdigest() for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(found.before)), pa.array(sums), *found.distinct()], names=["doc_id", "n_words", "sha", "phrases", "domains"])
+            ids, (data, _) = batch.column("doc_id"), raw(batch.column("text"))
+            if len(batch) == 1 and len(data) > 2 * BLOCK:
+                for part, _ in blocks(data, window - 1):
+                    yield found(ids, Words(part))
+            else:
+                yield found(ids, Words(batch.column("text")))
 
     return run
 
 
+def compiled(phrases: Iterable[bytes]) -> ahocorasick.Automaton:
+    """The automaton of these phrases, each between blanks; a hit's value is the phrase."""
+    out = ahocorasick.Automaton()
+    for phrase in phrases:
+        out.add_word(f" {phrase.decode('latin-1')} ", phrase)
+    if len(out):
+        out.make_automaton()
+    return out
+
+
+def hits(automaton: ahocorasick.Automaton, words: Words) -> Iterator[tuple[int, bytes]]:
+    """The first word and the text of every occurrence; the words stream through the automaton."""
+    if not len(automaton):
+        return
+    for a in range(0, len(words), STREAM):
+        b = min(a + STREAM + PHRASE - 1, len(words))
+        base = int(words.starts[a]) - 1
+        stream = f" {str(words.run(a, b), 'latin-1')} "
+        ends, phrases = list(zip(*automaton.iter(stream), strict=True)) or ((), ())
+        last = np.searchsorted(words.ends, np.array(ends, np.int64) + base)
+        yield from zip((last - PHRASE + 1).tolist(), phrases, strict=True)
+
+
 def located(window: int):
-    """For mapInArrow: each document with its removed windows, and the places and hashes of its open windows."""
+    """For mapInArrow: places of each document's confirmed passages: removed words, and open windows with their digests.
+
+    Only documents with any have their text in the result.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = Domains(batch.column("text"), window)
-            gone_ids, open_ids = (c.to_pylist() for c in (batch.column("removed"), batch.column("open")))
-            texts = [found.listed(i) for i in range(len(batch))]
-            shard = ahocorasick.Automaton()
-            states = np.zeros(len(found.first), np.int8)
-            for i in range(len(batch)):
-                a, b = found.bounds[i], found.bounds[i + 1]
-                own = found.domain[a:b]
-                states[a:b] = np.isin(own, gone_ids[i] or []) + 2 * np.isin(own, open_ids[i] or [])
-                for d in a + np.flatnonzero(states[a:b]):
-                    at = found.phrase_at[d] - found.before[i]
-                    shard.add_word(" " + b" ".join(texts[i][at : at + PHRASE]).decode("latin-1") + " ", PHRASE)
-            removed, places, hashes, counts = [], [], [], []
-            rolled = windows(found.hashes, window)
-            if len(shard):
-                shard.make_automaton()
-            for i in range(len(batch)):
-                n = len(texts[i])
-                near = np.zeros(max(n - window + 1, 0) + 1, np.int64)
-                if len(shard) and n >= window:
-                    stream = " " + b" ".join(texts[i]).decode("latin-1") + " "
-                    after = np.cumsum([1 + len(w) for w in texts[i]])  # where the space after each word is
-                    hits = np.searchsorted(after, np.array([end for end, _ in shard.iter(stream)], np.int64)) - PHRASE + 1
-                    np.add.at(near, np.maximum(hits + PHRASE - window, 0), 1)
-                    np.add.at(near, np.minimum(hits + 1, len(near) - 1), -1)
-                near = np.cumsum(near)[:-1] > 0  # windows that hold a recurring phrase
-                state = np.zeros(len(near), np.int8)
-                a, b = found.bounds[i], found.bounds[i + 1]
-                if b > a:
-                    state = np.repeat(states[a:b], found.last[a:b] - found.first[a:b] + 1)
-                gone = np.flatnonzero(near & (state == 1))
-                look = np.flatnonzero(near & (state >= 2))
-                removed.append(gone.astype(np.int32).tobytes())
-                places.append(look.astype(np.int32).tobytes())
-                hashes.append(rolled[found.before[i] + look].view(np.int64))
-                counts.append(len(look))
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(removed, pa.binary()), pa.array(places, pa.binary()), lists(np.concatenate(hashes) if hashes else np.zeros(0, np.int64), bounds)], names=["doc_id", "text", "gone", "places", "hashes"])
+            words = Words(batch.column("text"))
+            confirmed = [x or () for x in batch.column("confirmed").to_pylist()]
+            owner, before = words.owner(), words.before.tolist()
+            wanted: list[dict[bytes, list[dict]]] = [{} for _ in confirmed]
+            for own, found in zip(wanted, confirmed, strict=True):
+                for x in found:
+                    own.setdefault(x["phrase"], []).append(x)
+            gone: list[list[int]] = [[] for _ in confirmed]
+            look: list[set[int]] = [set() for _ in confirmed]
+            for at, phrase in hits(compiled(set().union(*wanted)), words):
+                doc = int(owner[at])
+                for x in wanted[doc].get(phrase, ()):
+                    first = at - x["at"]
+                    end = first + x["n"]
+                    if first >= before[doc] and end <= before[doc + 1] and digest(words.run(first, end)) == x["passage"]:
+                        if x["removed"]:
+                            gone[doc] += (first - before[doc], end - before[doc])
+                        else:
+                            look[doc].update(range(first - before[doc], end - before[doc] - window + 1))
+            rows = []
+            for i, text in enumerate(batch.column("text")):
+                places = sorted(look[i])
+                found = bool(gone[i] or places)
+                sha = hashlib.sha256(words.run(before[i], before[i + 1])).hexdigest()
+                hashes = [digest(words.run(before[i] + p, before[i] + p + window)) for p in places]
+                rows.append((before[i + 1] - before[i], sha, text.as_py() if found else None, np.array(gone[i], np.int64).tobytes(), np.array(places, np.int64).tobytes(), hashes))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            arrays = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "sha", "text", "gone", "places", "hashes"])
 
     return run
 
@@ -158,18 +170,21 @@ def trimmed(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for text, gone, places, hashes, hit in zip(*(batch.column(c).to_pylist() for c in ("text", "gone", "places", "hashes", "hit")), strict=True):
-                own = text.encode().split()
-                bad = np.isin(np.array(hashes, np.int64), np.array(hit or [], np.int64))
-                starts = np.concatenate([np.frombuffer(gone, np.int32), np.frombuffer(places, np.int32)[bad]])
-                cover = np.zeros(len(own) + 1, np.int64)
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + window, -1)
-                keep = np.cumsum(cover)[:-1] == 0
-                left = b" ".join([w for w, k in zip(own, keep, strict=True) if k])
-                out.append((len(own), int((~keep).sum()), hashlib.sha256(left).hexdigest(), left.decode()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), batch.column("text_id")], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_id"])
+            for i, (gone, places, hashes, hit) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("gone", "places", "hashes", "hit")), strict=True)):
+                words, hit = Words(batch.column("text").slice(i, 1)), set(hit or ())
+                starts = np.frombuffer(places, np.int64)[[h in hit for h in hashes]]
+                passed = np.frombuffer(gone, np.int64).reshape(-1, 2)
+                cover = np.zeros(len(words) + 1, np.int32)
+                np.add.at(cover, np.concatenate([passed[:, 0], starts]), 1)
+                np.add.at(cover, np.concatenate([passed[:, 1], starts + window]), -1)
+                keep = np.cumsum(cover[:-1]) == 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+                left = b" ".join([words.run(a, b) for a, b in edges.reshape(-1, 2).tolist()])
+                out.append((len(words), int((~keep).sum()), hashlib.sha256(left).hexdigest(), left.decode()))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            arrays = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), batch.column("text_id")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_id"])
 
     return run
 
@@ -177,29 +192,34 @@ def trimmed(window: int):
 def repeated_passages(documents: DataFrame, window: int = 50) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256, kept_text, text_id.
 
-    kept_text is the words that are left, joined by one space, of documents that hold a recurring phrase, and text_id is
-    xxhash64 of their text; both are null for the others, which lose nothing. Null and empty texts have no words. Rows with a null doc_id lose nothing and make no
-    other row lose anything. Rows that share a doc_id are one document for the comparison: their windows do not remove
-    each other. A passage that repeats inside one document stays. Further columns are ignored; an empty table stays empty.
+    kept_text is the words that are left, joined by one space, of documents with a confirmed passage, and text_id is the
+    SHA-256 of their text; both are null for the others, which lose nothing. Null and empty texts have no words. Rows with
+    a null doc_id lose nothing and make no other row lose anything. Rows that share a doc_id are one document for the
+    comparison: their windows do not remove each other. A passage that repeats inside one document stays. Further columns
+    are ignored; an empty table stays empty.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "passages")
+    scratch = Scratch(documents.sparkSession, "passages")
     texts = documents.select("doc_id", "text")
-    survey = scratch.cut(texts.mapInArrow(surveyed(window), "doc_id long, n_words long, sha string, phrases array<long>, domains array<long>"))
-    met = survey.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("phrases", "domains")).alias("x")).select("doc_id", "x.phrases", "x.domains")
-    kinds = scratch.cut(met.groupBy("domains").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("phrases").alias("phrase")))
-    recurring = scratch.cut(kinds.groupBy("phrase").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("kinds")).where("lo < hi").select("phrase", (F.col("kinds") > 1).alias("open")))
-    states = scratch.cut(kinds.join(recurring, "phrase").where("first < last or open").select("domains", "first", "open"))
-    found = met.select("doc_id", "domains").join(states, "domains").where("doc_id > first or open")
-    wanted = scratch.cut(found.groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") > F.col("first"), F.col("domains"))).alias("removed"), F.collect_set(F.when(F.col("doc_id") == F.col("first"), F.col("domains"))).alias("open")))
-    shards = scratch.cut(texts.join(wanted, "doc_id").mapInArrow(located(window), "doc_id long, text string, gone binary, places binary, hashes array<long>"))
+    met = scratch.cut(texts.where("doc_id is not null").mapInArrow(surveyed(window), SURVEY))
+    # A passage decides its phrase, place and length; as keys they need no sorting.
+    kinds = met.groupBy("passage", "phrase", "at", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    kinds = scratch.cut(kinds)
+    recurring = kinds.groupBy("phrase").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("kinds"))
+    recurring = scratch.cut(recurring.where("lo < hi").select("phrase", (F.col("kinds") > 1).alias("open")))
+    states = scratch.cut(kinds.join(recurring, "phrase").where("first < last or open").drop("last"))
+    found = met.select("doc_id", "passage").join(states, "passage").where("doc_id > first or open")
+    each = F.struct("phrase", "at", "n", "passage", (F.col("doc_id") > F.col("first")).alias("removed"))
+    wanted = scratch.cut(found.groupBy("doc_id").agg(F.collect_list(each).alias("confirmed")))
+    shards = scratch.cut(texts.join(wanted, "doc_id", "left").mapInArrow(located(window), LOCATED))
     looked = shards.select("doc_id", F.explode("hashes").alias("hash"))
-    twice = scratch.cut(looked.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"))
-    hits = looked.join(twice, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("hash").alias("hit"))
-    changed = shards.join(hits, "doc_id", "left").withColumn("text_id", F.xxhash64("text")).mapInArrow(trimmed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_id long")
-    rest = survey.join(wanted.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast("long").alias("text_id"))
-    return rest.unionByName(changed)
+    twice = looked.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    twice = scratch.cut(twice.select("hash", "first"))
+    hit = looked.join(twice, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("hash").alias("hit"))
+    some = shards.where("text is not null").join(hit, "doc_id", "left").withColumn("text_id", F.sha2("text", 256))
+    changed = some.mapInArrow(trimmed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_id string")
+    none = [F.lit(None).cast("string").alias(c) for c in ("kept_text", "text_id")]
+    rest = shards.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), *none)
+    return rest.unionByName(scratch.cut(changed))
 
 
 def without_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
@@ -210,7 +230,7 @@ def without_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     """
     found = repeated_passages(documents, window).where("n_removed > 0").select("doc_id", "text_id", "kept_text").dropDuplicates(["doc_id", "text_id"])
     found = found.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), F.col("kept_text").alias("__kept"))
-    out = documents.join(found, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__text")), "left")
+    out = documents.join(found, (F.col("doc_id") == F.col("__doc")) & (F.sha2("text", 256) == F.col("__text")), "left")
     new = {"text": F.coalesce("__kept", "text")}
     if "n_chars" in documents.columns:
         new["n_chars"] = F.coalesce(F.length("__kept").cast(documents.schema["n_chars"].dataType), "n_chars")

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import id_remainder, one_of_each
-from .scratch import small_batches
 from .text_arrays import BYTE_VALUE, U, raw, slices, spans
 
 BUCKETS, DIMENSIONS, SPARSE, REACH = 8192, 32, 2, 2
@@ -184,7 +183,6 @@ def score_quality(documents: DataFrame, labels: DataFrame, fold: int = 5, held:
     training rows of both labels every score is 0.5. Null doc_ids are scored but never learned from; repeated rows get
     equal scores; further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(documents.sparkSession)
     vectors = word_vectors(documents)
     network = fit_quality(documents, labels, vectors, fold, held, per_label)
 
@@ -200,7 +198,6 @@ def score_quality(documents: DataFrame, labels: DataFrame, fold: int = 5, held:
 
 def accept_quality(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, per_label: int = 2048, accept: float = 0.3) -> DataFrame:
     """The documents, all columns as they are, whose score (as in score_quality) is at least ``accept``; no shuffle."""
-    small_batches(documents.sparkSession)
     vectors = word_vectors(documents)
     network = fit_quality(documents, labels, vectors, fold, held, per_label)
     if network is None:

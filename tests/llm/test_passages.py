@@ -49,6 +49,55 @@ def test_equals_plain_windows(spark, seed, vocabulary, window):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == plain(rows, window)
 
 
+def test_an_empty_automaton_removes_nothing(spark, monkeypatch):
+    """Words go only where the automaton has located a phrase."""
+    rows = corpus(1, 60, 3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.n_removed for r in passages.repeated_passages(docs).collect()) > 0
+    batches = [passages.pa.record_batch({"doc_id": [1], "text": [rows[0][1]], "confirmed": [[]]})]
+    words = passages.Words(passages.pa.array([rows[0][1]]))
+    _, first, end, phrase = (x.tolist() for x in passages.passages(words, 12))
+    one = {"phrase": bytes(words.run(phrase[0], phrase[0] + 8)), "at": phrase[0] - first[0], "n": end[0] - first[0], "passage": passages.digest(words.run(first[0], end[0])), "removed": True}
+    batches = [passages.pa.record_batch({"doc_id": [1], "text": [rows[0][1]], "confirmed": [[one]]})]
+    (got,) = passages.located(12)(batches)
+    assert len(got.column("gone")[0].as_py()) == 16 and got.column("text")[0].as_py() == rows[0][1]
+    monkeypatch.setattr(passages, "compiled", lambda phrases: passages.ahocorasick.Automaton())
+    (got,) = passages.located(12)(batches)
+    assert got.column("gone")[0].as_py() == b"" and got.column("text")[0].as_py() is None
+
+
+def test_a_passage_is_removed_only_if_its_bytes_are_confirmed(spark):
+    odd = [bin(i).count("1") % 2 for i in range(1024)]  # words that agree in sums over powers modulo 2**64
+    a, b = "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+    frame = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{frame} {a}"), (2, f"{frame} {b}"), (3, " ".join([a] * 61)), (4, " ".join([b] * 61)), (5, f"{a} {frame[3:]}"), (6, f"{b} {frame[3:]}")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == plain(rows, 50)
+
+
+def test_long_texts_are_surveyed_in_blocks(monkeypatch):
+    rows = corpus(7, 40, 40)
+    text = " ".join(t for _, t in rows)
+    batch = [passages.pa.record_batch({"doc_id": [1], "text": [text]})]
+
+    def covered(batches):
+        out = set()
+        for b in batches:
+            for at in zip(*(b.column(c).to_pylist() for c in ("phrase", "passage", "n")), strict=True):
+                out.add(at[0])
+        return out
+
+    whole = covered(passages.surveyed(12)(batch))
+    monkeypatch.setattr(passages, "BLOCK", 300)
+    monkeypatch.setattr(passages, "blocks", lambda data, overlap: __import__("tessella.llm.text_arrays", fromlist=["blocks"]).blocks(data, overlap, 700))
+    assert covered(passages.surveyed(12)(batch)) == whole
+    monkeypatch.setattr(passages, "STREAM", 10)
+    words = passages.Words(passages.pa.array([text]))
+    own = text.split()
+    phrases = {" ".join(own[i : i + 8]).encode() for i in range(0, len(own) - 8, 5)}
+    assert sorted(passages.hits(passages.compiled(phrases), words)) == sorted((i, p) for i in range(len(own) - 7) if (p := " ".join(own[i : i + 8]).encode()) in phrases)
+
+
 def test_odd_rows(odd, none):
     rows = passages.repeated_passages(odd).collect()
     assert len(rows) == 11
