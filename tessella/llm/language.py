@@ -80,12 +80,14 @@ class ByteNetwork:
         tables = tables or self.tables()
         return softmax(np.maximum(self.largest(x, tables), 0) @ self.p["o"] + self.p["c"])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 64, seed: int = 6) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, steps: int = 400, batch: int = 64, seed: int = 6) -> None:
+        """Learn windows x of ``sizes`` bytes; a window is drawn as often as its language's share of bytes says."""
         rng = np.random.default_rng(seed)
         by = [np.flatnonzero(y == c) for c in range(len(self.languages))]
+        shares = [sizes[b] / sizes[b].sum() for b in by]
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for t in range(1, steps + 1):
-            rows = np.concatenate([rng.choice(b, max(1, batch // len(by))) for b in by if len(b)])  # languages in equal parts
+            rows = np.concatenate([rng.choice(b, max(1, batch // len(by)), p=p) for b, p in zip(by, shares, strict=True)])  # languages in equal parts
             xb, yb = x[rows], y[rows]
             best, where = self.responses(xb, self.tables())
             act = np.maximum(best, 0)
@@ -112,33 +114,35 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit_language(documents: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 256, windows: int = 8) -> ByteNetwork | None:
+def fit_language(documents: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 256, windows: int = 8, rows: int = 1 << 17) -> ByteNetwork | None:
     """The network, from labelled documents outside the held-out fold; None without any.
 
-    The sample is at most ``per_language`` documents for each language and ``windows`` evenly spread windows of each.
+    The sample, which bounds the fitting only: at most ``per_language`` documents for each language, and ``windows`` evenly
+    spread windows of each. With so many languages that this would pass ``rows`` windows, each gets an equal part of them,
+    one document at least. Windows of any length are learned, by their bytes.
     """
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(modulus) != held)).select("doc_id", "lang")
-    chosen = one_of_each(usable, "lang", "doc_id", per_language)
-    # per_language rows for each language at most: bounded by the number of languages, not of documents
-    picked = documents.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    usable = documents.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (id_remainder(modulus) != held)).select("doc_id", "lang")
+    languages = usable.select("lang").distinct().count()
+    most = max(1, min(per_language, rows // (windows * max(1, languages))))
+    chosen = one_of_each(usable, "lang", "doc_id", most)
+    # rows / windows documents, or one for each language, at most; Spark broadcasts them if they are small
+    picked = documents.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, owner, size = byte_windows(*raw(batch.column("text")))
-            rows = []
-            for doc in np.unique(owner):
-                own = np.flatnonzero((owner == doc) & (size >= WINDOW // 4))
-                rows += list(own[np.unique(np.linspace(0, len(own) - 1, windows).astype(int))]) if len(own) else []
-            langs = batch.column("lang").take(pa.array(owner[rows], pa.int64()))
-            ids = batch.column("doc_id").take(pa.array(owner[rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, langs, pa.array([x[r].tobytes() for r in rows], pa.binary())], names=["doc_id", "lang", "x"])
-
-    rows = picked.mapInArrow(cut, "doc_id long, lang string, x binary").toPandas().sort_values(["lang", "doc_id", "x"])
-    if not len(rows):
+            bounds = np.searchsorted(owner, np.arange(len(batch) + 1))
+            picks = [a + np.unique(np.linspace(0, b - a - 1, windows).astype(int)) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+            at = np.concatenate([*picks, np.zeros(0, int)]).astype(int)
+            langs, ids = (batch.column(c).take(pa.array(owner[at], pa.int64())) for c in ("lang", "doc_id"))
+            yield pa.RecordBatch.from_arrays([ids, langs, pa.array([x[r].tobytes() for r in at], pa.binary()), pa.array(size[at])], names=["doc_id", "lang", "x", "size"])
+
+    found = picked.mapInArrow(cut, "doc_id long, lang string, x binary, size long").toPandas().sort_values(["lang", "doc_id", "x"])
+    if not len(found):
         return None
-    languages = sorted(rows["lang"].unique())
-    network = ByteNetwork(languages)
-    network.fit(np.stack([np.frombuffer(b, np.uint8) for b in rows["x"]]), rows["lang"].map(languages.index).to_numpy())
+    names = sorted(found["lang"].unique())
+    network = ByteNetwork(names)
+    network.fit(np.stack([np.frombuffer(b, np.uint8) for b in found["x"]]), found["lang"].map(names.index).to_numpy(), found["size"].to_numpy(float))
     return network
 
 

@@ -24,6 +24,34 @@ def test_language_of_odd_rows(odd, none):
     assert {(r.lang_pred, r.score) for r in untaught} == {("und", 0.0)}
 
 
+def test_short_texts_are_learned(spark):
+    """All rows of one language are shorter than a window and a quarter of one."""
+    rows = [(i, f"the cat and dog {i % 10}!", "en") for i in range(40)]
+    rows += [(100 + i, " ".join(["der Hund und die Katze", str(i), "schlafen nicht immer über dem Haus"] * 6), "de") for i in range(40)]
+    got = language.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got if r.doc_id < 100} == {"en"} and {r.lang_pred for r in got if r.doc_id >= 100} == {"de"}
+
+
+def test_responses_equal_a_plain_convolution():
+    network = language.ByteNetwork(["a", "b"], seed=3)
+    rng = language.np.random.default_rng(1)
+    x = rng.integers(0, 256, (5, language.WINDOW)).astype(language.np.uint8)
+    parts = []
+    for w in language.WIDTHS:
+        e = network.p["e"][x]  # window, place, embedding
+        places = [sum(e[:, i + k] @ network.p[f"w{w}"][k] for k in range(w)) + network.p[f"b{w}"] for i in range(language.WINDOW - w + 1)]
+        parts.append(language.np.max(places, axis=0))
+    z = language.np.maximum(language.np.concatenate(parts, 1), 0) @ network.p["o"] + network.p["c"]
+    z = language.np.exp(z - z.max(axis=1, keepdims=True))
+    assert abs(network.probabilities(x) - z / z.sum(axis=1, keepdims=True)).max() < 1e-5
+
+
+def test_many_languages_share_the_sample(spark):
+    rows = [(i, f"text {i} of language {i % 30}", f"l{i % 30}") for i in range(300)]
+    network = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=8 * 30)
+    assert len(network.languages) == 30
+
+
 def test_quality_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = queries.op10_random_indexing_quality(spark, SF).join(labels, "doc_id").toPandas()
