@@ -36,11 +36,37 @@ SENTENCES = [
     ("cc-by-sa-4", "licensed under cc by sa 4 0"),
     ("cc0", "this work is dedicated to the public domain under cc0 1 0"),
     ("rights-reserved", "all rights reserved"),
+    ("gpl2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("agpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl21-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-hope", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd-retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-as-is", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost-title", "boost software license version 1 0"),
+    ("boost-under", "distributed under the boost software license version 1 0"),
+    ("apache2-title", "apache license version 2 0 january 2004"),
 ]
 # Further wordings of sentences above, as whole licence headers have them.
 HEADER_FORMS = [("apache2-under", "licensed under the apache license version 2 0 the license")]
 # Licence, identifiers in order; earlier rules come first.
 RULES = [
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-retain", "bsd-reproduce", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-retain", "bsd-reproduce"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
     ("MIT", ["mit-title", "mit-grant", "mit-notice", "as-is"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("Apache-2.0", ["apache2-under", "apache2-may-not", "apache2-obtain"]),
@@ -59,6 +85,16 @@ RULES = [
     ("MIT", ["mit-under"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit-title"]),
+    ("GPL-2.0-or-later", ["gpl2-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-free"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-title"]),
+    ("BSL-1.0", ["boost-under"]),
+    ("Apache-2.0", ["apache2-title"]),
     ("proprietary", ["rights-reserved"]),
 ]
 SENTENCE_END = r"[.!?;:]+\s+|[\r\n]+"
