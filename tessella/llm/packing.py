@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -30,16 +31,67 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 BLOCK, KNOWN, KNOWN_SIGNS = 1 << 21, 1 << 18, 1 << 22
 ID = np.dtype("<u4")
 BEFORE_SPACE = re.compile(r"\S(?=\s)")
+LETTER, DIGIT, SPACE, OTHER = range(4)
+CONTRACTED = {b"s": 1, b"t": 1, b"m": 1, b"d": 1, b"re": 2, b"ve": 2, b"ll": 2}  # letters that an apostrophe takes along
 _encoders: dict[str, Encoder] = {}
 
 
+def sign_classes() -> np.ndarray:
+    """The class of each code point below 256."""
+    signs = [chr(i) for i in range(256)]
+    tests = [(LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (SPACE, r"\p{White_Space}")]
+    return np.array([next((k for k, t in tests if regex.fullmatch(t, c)), OTHER) for c in signs], np.uint8)
+
+
+CLASSES = sign_classes()
+#: Byte-level models see each byte as a visible sign: itself where it is one, else the next free one from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
+
+
+def pre_token_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of byte-level tokenizers begin, in UTF-8 texts of code points below 256 that begin at ``at``.
+
+    A run of letters, of digits or of other signs is one, with the blank before it; of white space before a sign, the last
+    sign stands alone or is that blank; an apostrophe alone takes an English ending along.
+    """
+    n = len(data)
+    kind = CLASSES[data]
+    lead = np.flatnonzero(data >= 0xC2)  # of two bytes
+    kind[lead] = kind[lead + 1] = CLASSES[(data[lead].astype(np.int64) & 3) << 6 | data[lead + 1] & 0x3F]
+    start = np.ones(n + 1, bool)
+    start[1:n] = kind[1:] != kind[:-1]
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    start |= edge
+    runs = np.flatnonzero(start)
+    begin, end = runs[:-1], runs[1:]
+    blank = (kind[begin] == SPACE) & ~edge[end]
+    begin, end = begin[blank], end[blank]
+    last = end - np.where(data[end - 1] >= 0x80, 2, 1)
+    start[last] = True
+    joined = data[last] == 0x20
+    start[end[joined]] = False
+    alone = np.flatnonzero(data[: n - 1] == 0x27)
+    alone = alone[start[alone] & (kind[alone + 1] == LETTER) & ~edge[alone + 1]]
+    text = data.tobytes()
+    limits = np.append(at, n)
+    for i, to in zip(alone.tolist(), limits[np.searchsorted(limits, alone, side="right")].tolist(), strict=True):
+        taken = CONTRACTED.get(text[i + 1 : i + 2]) or (CONTRACTED.get(text[i + 1 : i + 3]) if i + 3 <= to else None)
+        if taken:
+            start[i + 1] = False
+            start[i + 1 + taken] = True
+    return np.flatnonzero(start[:n])
+
+
 class Encoder:
     """Ids of texts by ``tokenizers``, each different pre-token being encoded once.
 
-    Texts are cut into pre-tokens by the pattern of byte-level pre-tokenizers, and the library encodes those it has not met
-    yet, many in one call. They are remembered until there are ``KNOWN`` of them or they have ``KNOWN_SIGNS`` signs. Added
-    strings of the file (special ones) become their ids, as in the library's own ``encode``. Long texts are taken in blocks
-    that end before a white-space sign after another sign: no pre-token crosses such a place. So memory follows the block.
+    Texts are cut into pre-tokens, with numpy where all code points are below 256, by the pattern of the tokenizers' package
+    otherwise, and the library's model encodes those it has not met yet. Up to ``KNOWN`` of them with up to
+    ``KNOWN_SIGNS`` bytes are remembered, those met most recently longest. Added strings of the file (special ones) become
+    their ids, as in the library's own ``encode``. Long texts are taken in blocks that end before a white-space sign after
+    another sign: no pre-token crosses such a place. So memory follows the block.
     """
 
     def __init__(self, path: str):
@@ -47,18 +99,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
-        self.known: dict[str, bytes] = {}  # ids as their 4 bytes each
+        self.known: dict[bytes, bytes] = {}  # ids as their 4 bytes each
+        self.older: dict[bytes, bytes] = {}
         self.signs = 0
 
-    def learn(self, pre_tokens: list[str]) -> None:
-        found = self.tokenizer.encode(pre_tokens, is_pretokenized=True, add_special_tokens=False)
-        bounds = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pre_tokens) + 1))
-        bounds, ids = (bounds * ID.itemsize).tolist(), np.array(found.ids, ID).tobytes()
-        self.known |= {p: ids[a:b] for p, a, b in zip(pre_tokens, bounds[:-1], bounds[1:], strict=True)}
-        self.signs += sum(map(len, pre_tokens))
+    def learn(self, new: set[bytes]) -> None:
+        """Make these pre-tokens known."""
+        found = {p: self.older[p] for p in new if p in self.older}
+        rest = new.difference(found)
+        for p in rest:
+            made = self.tokenize(p.decode("latin-1").translate(BYTE_SIGNS))
+            found[p] = array("I", [t.id for t in made]).tobytes()
+        self.known |= found
+        self.signs += sum(map(len, found))
+
+    def forget(self) -> None:
+        if len(self.known) > KNOWN or self.signs > KNOWN_SIGNS:
+            self.older, self.known, self.signs = ({} if self.signs > KNOWN_SIGNS else self.known), {}, 0
+
+    def ids(self, pre_tokens: list[bytes]) -> list[bytes]:
+        new = set(pre_tokens).difference(self.known)
+        if new:
+            self.learn(new)
+        return [self.known[p] for p in pre_tokens]
 
     def blocks(self, text: str) -> Iterator[str | int]:
         """A text's blocks, and the ids of added strings between them."""
@@ -73,38 +140,51 @@ class Encoder:
                 yield part[at:to]
                 at = to
 
-    def parts(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
-        """Number of the text and ids, block by block, in order."""
-        waiting: list[tuple[int, list[str] | int]] = []
+    def together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each of some texts of code points below 256."""
+        at = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(data):
+            return [np.zeros(0, ID) for _ in texts]
+        starts = pre_token_starts(data, at)
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which, own = np.asarray(coded.indices), self.ids(coded.dictionary.to_pylist())
+        self.forget()
+        sizes = np.array(list(map(len, own)), np.int64) // ID.itemsize
+        flat, first = np.frombuffer(b"".join(own), ID), np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        out = flat[np.repeat(first[which] - (ends - counts), counts) + np.arange(ends[-1])]
+        bounds = np.append(0, ends)[np.searchsorted(starts, at)].tolist()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, int, bytes]] = []
         size = 0
 
-        def flush() -> Iterator[tuple[int, np.ndarray]]:
-            new = set().union(*(p for _, p in waiting if not isinstance(p, int))).difference(self.known)
-            if new:
-                self.learn(list(new))
-            for i, p in waiting:
-                if isinstance(p, int):
-                    yield i, np.array([p], ID)
-                else:
-                    yield i, np.frombuffer(b"".join(map(self.known.__getitem__, p)), ID)
+        def flush() -> None:
+            for (i, k, _), ids in zip(waiting, self.together([b for *_, b in waiting]), strict=True):
+                out[i][k] = ids
             waiting.clear()
-            if len(self.known) > KNOWN or self.signs > KNOWN_SIGNS:
-                self.known, self.signs = {}, 0
 
         for i, text in enumerate(texts):
             for block in self.blocks(text):
-                waiting.append((i, block if isinstance(block, int) else self.pattern.findall(block)))
-                size += 1 if isinstance(block, int) else len(block)
+                if isinstance(block, int):
+                    out[i].append(np.array([block], ID))
+                elif block.isascii() or max(block) < "\u0100":
+                    waiting.append((i, len(out[i]), block.encode()))
+                    out[i].append(np.zeros(0, ID))
+                    size += len(block)
+                else:
+                    out[i].append(np.frombuffer(b"".join(self.ids([p.encode() for p in self.pattern.findall(block)])), ID))
+                    self.forget()
                 if size >= BLOCK:
-                    yield from flush()
+                    flush()
                     size = 0
-        yield from flush()
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        for i, ids in self.parts(texts):
-            out[i].append(ids)
+        flush()
         return [np.concatenate(x) if x else np.zeros(0, ID) for x in out]
 
 
