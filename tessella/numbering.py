@@ -19,9 +19,9 @@ def numbered(df: DataFrame, order: list[str], scratch: Scratch, name: str = "row
     read = scratch.cut(df.withColumn(local, F.monotonically_increasing_id() % 1009))  # else the range sample runs df twice
     dealt = read.repartitionByRange(*by, F.col(local)).sortWithinPartitions(*by)
     kept = scratch.cut(dealt.withColumn(part, F.spark_partition_id()).withColumn(local, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    # One row for each partition: few enough for one task to add up, and to broadcast.
+    # One row for each partition: few enough for one task to add up; Spark broadcasts them if they are small.
     sizes = scratch.cut(kept.groupBy(part).agg(F.count("*").alias("__n")))
     before = F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = F.broadcast(sizes.select(part, F.coalesce(before, F.lit(0)).alias("__before")))
+    offsets = scratch.cut(sizes.select(part, F.coalesce(before, F.lit(0)).alias("__before")))
     total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     return kept.join(offsets, part).withColumn(name, F.col("__before") + F.col(local)).drop(part, local, "__before"), total

@@ -16,36 +16,30 @@ def manifest_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").withColumn("change_type", kind).where("change_type is not null").drop("in_source", "in_target")
 
 
-def _lacking(new: Column, old: Column) -> Column:
-    """(seq, hash) of the chunks of a file that its old version lacks, in order and as often as the file has them."""
-    missing = F.array_except(new, old)
-    placed = F.transform(new, lambda h, i: F.struct(i.alias("seq"), h.alias("hash")))
-    return F.when(F.size(missing) == F.size(F.array_distinct(new)), placed).otherwise(F.filter(placed, lambda x: F.array_contains(missing, x["hash"])))
-
-
 def _chunk_rows(source: DataFrame, target: DataFrame, cache: DataFrame) -> DataFrame:
-    """The changes of manifest_diff(), a row for each chunk that the old version of the file lacks (one with nulls if
-    there is none), and whether the cache has that chunk. The versions meet once, by path."""
-    none = F.array().cast("array<string>")
+    """The changes of manifest_diff(), a row for each chunk of the new version (one with nulls if there is none): whether
+    the old version of the file has that chunk (had) and whether the cache has it (cached). Chunks meet by equality of
+    path and hash, so a file of any number of chunks costs no more than its chunks."""
     a = source.select("path", F.col("content_hash").alias("old_hash"), F.col("size").alias("old_size"), F.col("chunk_hashes").alias("old"), F.lit(1).alias("in_source"))
     b = target.select("path", F.col("content_hash").alias("new_hash"), F.col("size").alias("new_size"), F.col("chunk_hashes").alias("new"), F.lit(1).alias("in_target"))
     kind = F.when(F.col("in_source").isNull(), "Added").when(F.col("in_target").isNull(), "Deleted").when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "Modified")
     changed = a.join(b, "path", "full_outer").withColumn("change_type", kind).where("change_type is not null")
-    lacking = F.when(F.col("change_type") != "Deleted", _lacking(F.coalesce("new", none), F.coalesce("old", none)))
-    rows = changed.select("path", "change_type", "old_hash", "new_hash", "old_size", "new_size", F.explode_outer(lacking).alias("x"))
-    rows = rows.select("path", "change_type", "old_hash", "new_hash", "old_size", "new_size", "x.seq", "x.hash")
+    new = F.posexplode_outer(F.when(F.col("change_type") != "Deleted", F.col("new"))).alias("seq", "hash")
+    rows = changed.select("path", "change_type", "old_hash", "new_hash", "old_size", "new_size", new)
+    old = changed.where("change_type = 'Modified'").select("path", F.explode("old").alias("hash")).distinct()
+    rows = rows.join(old.withColumn("had", F.lit(True)), ["path", "hash"], "left")
     return rows.join(cache.select("hash").distinct().withColumn("cached", F.lit(True)), "hash", "left")
 
 
 def required_chunks(source: DataFrame, target: DataFrame, cache: DataFrame) -> DataFrame:
     """(path, seq, hash) of the chunks to fetch: of added files all that are not cached, of modified files those that the
     old version lacks too. A chunk that a file holds twice is listed twice."""
-    return _chunk_rows(source, target, cache).where("hash is not null and cached is null").select("path", "seq", "hash")
+    return _chunk_rows(source, target, cache).where("hash is not null and cached is null and had is null").select("path", "seq", "hash")
 
 
 def chunk_diff(source: DataFrame, target: DataFrame, cache: DataFrame) -> DataFrame:
     """Changes with their chunks to fetch in order; same size and nothing to fetch is MetadataOnly."""
-    fetch = F.when(F.col("hash").isNotNull() & F.col("cached").isNull(), F.struct("seq", "hash"))
+    fetch = F.when(F.col("hash").isNotNull() & F.col("cached").isNull() & F.col("had").isNull(), F.struct("seq", "hash"))
     rows = _chunk_rows(source, target, cache).groupBy("path", "change_type", "old_hash", "new_hash", "old_size", "new_size")
     out = rows.agg(F.transform(F.array_sort(F.collect_list(fetch)), lambda x: x["hash"]).alias("required"))
     metadata = (F.col("change_type") == "Modified") & (F.size("required") == 0) & (F.col("old_size") == F.col("new_size"))
@@ -93,9 +87,19 @@ def of_type(changes: DataFrame, kind: str) -> DataFrame:
 def for_peers(peers: DataFrame, versions: DataFrame, current: DataFrame, folder: str = "folder") -> DataFrame:
     """Changes that bring each peer from the version that it has to the current one.
 
-    peers has peer_id and version (null: none yet), versions has version and the entries of every version.
+    peers has peer_id and version (null: none yet), versions has version and the entries of every version. Each version is
+    compared once, however many peers have it. What it lacks is found from the versions that each path is in, so nothing
+    but the changes themselves is multiplied.
     """
-    theirs = peers.join(versions, "version").select("peer_id", "path", F.col("content_hash").alias("old_hash"), F.lit(1).alias("in_source"))
-    ours = peers.select("peer_id").join(current.select("path", F.col("content_hash").alias("new_hash"), F.lit(1).alias("in_target")))  # every peer gets the whole version
-    kind = F.when(F.col("in_source").isNull(), "Added").when(F.col("in_target").isNull(), "Deleted").when(F.col("old_hash") != F.col("new_hash"), "Modified")
-    return theirs.join(ours, ["peer_id", "path"], "full_outer").withColumn("change_type", kind).where("change_type is not null").select("peer_id", "path", "change_type")
+    own = F.coalesce(F.col("version").cast("string"), F.lit("")).alias("has")
+    held = peers.select("peer_id", own)
+    wanted = held.select("has").distinct()
+    entries = versions.select(own, "path", F.col("content_hash").alias("old_hash")).join(wanted, "has", "left_semi")
+    now = current.select("path", F.col("content_hash").alias("new_hash"), F.lit(1).alias("in_target"))
+    kind = F.when(F.col("in_target").isNull(), "Deleted").when(F.col("old_hash") != F.col("new_hash"), "Modified")
+    old = entries.join(now, "path", "left").select("has", "path", kind.alias("change_type")).where("change_type is not null")
+    inside = entries.groupBy("path").agg(F.collect_set("has").alias("inside"))
+    every = wanted.agg(F.collect_set("has").alias("every"))  # one row
+    lacking = F.array_except("every", F.coalesce("inside", F.array().cast("array<string>")))
+    added = now.join(inside, "path", "left").crossJoin(every).select(F.explode(lacking).alias("has"), "path", F.lit("Added").alias("change_type"))
+    return held.join(old.unionByName(added), "has").select("peer_id", "path", "change_type")

@@ -33,6 +33,12 @@ def read(objects: DataFrame, hashes: DataFrame) -> DataFrame:
     return objects.join(hashes.select("hash").distinct(), "hash", "left_semi")
 
 
+def checked_read(objects: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The objects asked for, and whether each is sound: its content there, of its size, and with its hash."""
+    sound = (F.sha2("data", 256) == F.col("hash")) & (F.octet_length("data") == F.col("size"))
+    return read(objects, hashes).withColumn("sound", F.coalesce(sound, F.lit(False)))
+
+
 def without(objects: DataFrame, hashes: DataFrame) -> DataFrame:
     return objects.join(hashes.select("hash").distinct(), "hash", "left_anti")
 
@@ -125,6 +131,19 @@ def pack_index(packed: DataFrame, key: str = "shard") -> DataFrame:
     return packed.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long"))
 
 
+def pack_bytes(indexed: DataFrame, key: str = "shard") -> DataFrame:
+    """The packs themselves: shard, pack, bytes; the data of the objects of pack_index(), one after another by hash."""
+    parts = F.array_sort(F.collect_list(F.struct("hash", F.hex(F.col("data").cast("binary")).alias("hex"))))
+    return indexed.groupBy(key, "pack").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["hex"]), "")).alias("bytes"))
+
+
+def read_packed(packs: DataFrame, index: DataFrame, hashes: DataFrame, key: str = "shard") -> DataFrame:
+    """Objects read back from their packs: hash, size, data, sound (the content has the hash)."""
+    rows = read(index.select(key, "pack", "hash", "offset", "size"), hashes).join(packs, [key, "pack"])
+    out = rows.select("hash", "size", F.substring("bytes", F.col("offset").cast("int") + 1, F.col("size").cast("int")).alias("data"))
+    return out.withColumn("sound", F.sha2("data", 256) == F.col("hash"))
+
+
 def batch_flushes(writes: DataFrame, most: int = 100, most_bytes: int = 10 << 20, most_ms: int = 100) -> DataFrame:
     """Whether a buffer with n items, bytes and an age in ms is flushed."""
     return writes.withColumn("flush", (F.col("n") >= most) | (F.col("bytes") >= most_bytes) | (F.col("age_ms") >= most_ms))

@@ -404,23 +404,52 @@ def _by_time():
     return Window.partitionBy("user_id").orderBy("us", "seq")
 
 
-@query(None)
+MACHINE = "ev as (select user_id::varchar as key, row_number() over (partition by user_id order by us, seq) as seq, us / 1e6 as ts, case when kind = 'Removed' then 'failure' else 'success' end as event, value from fsevents)"
+
+
+def _folded_sql(state: str, first: str, step: str, output: str) -> dict:
+    """SQL of a fold: ``first`` is the state before the first event, ``step`` makes the next one from s and e."""
+    names = ", ".join(f"{x} as {n}" for x, n in zip(first.split("; "), state.split(", "), strict=True))
+    start = f"s as (select key, 0::bigint as seq, {names}, '' as output from (select distinct key from ev) k union all select e.key, e.seq, {step}, {output} from s join ev e on e.key = s.key and e.seq = s.seq + 1)"
+    return {"sql": "select key, seq, output from s where seq > 0", "views": ["fsevents"], "extra": f"{MACHINE}, {start}"}
+
+
+# The breaker's state is tried again after a day; two failures open it, two successes close it.
+TRIED = "(s.name = 'Open' and e.ts - s.since >= 86400.0)"
+BREAKER = f"case when {TRIED} then case when e.event = 'failure' then 'Open' else 'HalfOpen' end when s.name = 'Open' then 'Open' when e.event = 'failure' then case when s.name = 'HalfOpen' or s.n + 1 >= 2 then 'Open' else s.name end when s.name = 'HalfOpen' and s.n + 1 >= 2 then 'Closed' else s.name end"
+COUNT = f"case when {TRIED} then case when e.event = 'failure' then 0 else 1 end when s.name = 'Open' then s.n when e.event = 'failure' then case when s.name = 'HalfOpen' or s.n + 1 >= 2 then 0 else s.n + 1 end when s.name = 'HalfOpen' and s.n + 1 < 2 then s.n + 1 else 0 end"
+SINCE = f"case when s.name = 'Open' and not {TRIED} then s.since when e.event = 'failure' and ({TRIED} or s.name = 'HalfOpen' or s.n + 1 >= 2) then e.ts else s.since end"
+
+
+@query(**_folded_sql("name, n, since", "'Closed'; 0; 0.0::double", f"{BREAKER}, {COUNT}, {SINCE}", BREAKER))
 def circuit_breaker(v):
     return machines.folded(_machine_events(v), machines.circuit_breaker(failures=2, successes=2, timeout_s=86400.0))
 
 
-@query(None)
+RECENT = "list_filter(s.accepted, lambda t: e.ts - t < 86400.0)"
+
+
+@query(**_folded_sql("accepted", "[]::double[]", f"case when len({RECENT}) < 2 then list_append({RECENT}, e.ts) else {RECENT} end", f"case when len({RECENT}) < 2 then 'accepted' else 'rejected' end"))
 def rate_limit(v):
     return machines.folded(_machine_events(v), machines.rate_limit(most=2, span_s=86400.0))
 
 
-@query(None)
+MESSAGE = "case when e.seq = 1 then 'hello' when e.seq = 2 then 'summary' when e.seq = 3 then 'manifest' when e.seq % 20 = 0 then 'last_chunk' when e.seq = 21 then 'verified' else 'chunk' end"
+SESSION = f"case when s.state in ('Completed', 'Failed') then s.state else coalesce(case s.state || ' ' || {MESSAGE} {' '.join(f"when '{a} {b}' then '{c}'" for (a, b), c in machines.SESSION_STEPS.items())} end, 'Failed') end"
+
+
+@query(**_folded_sql("state", "'Initializing'", SESSION, SESSION))
 def session_states(v):
     steps = F.when(F.col("seq") == 1, "hello").when(F.col("seq") == 2, "summary").when(F.col("seq") == 3, "manifest").when(F.col("seq") % 20 == 0, "last_chunk").when(F.col("seq") == 21, "verified").otherwise("chunk")
     return machines.folded(_machine_events(v).withColumn("event", steps), machines.sync_session())
 
 
-@query(None)
+# Kinds by seq % 7: stage, file, chunk, bytes, error, retry, finish.
+CHECKPOINT = {"stage": "case when e.seq % 7 = 0 then e.value::varchar else s.stage end", "files": "s.files + (e.seq % 7 = 1)::int", "chunks": "s.chunks + (e.seq % 7 = 2)::int", "bytes": "s.bytes + case when e.seq % 7 = 3 then e.value else 0.0 end", "errors": "s.errors + (e.seq % 7 = 4)::int", "retries": "s.retries + (e.seq % 7 = 5)::int", "done": "s.done or e.seq % 7 = 6"}
+SHOWN = " || ', ' || ".join(f"'\"{c}\": ' || ({CHECKPOINT[c]})::varchar" for c in sorted(CHECKPOINT))
+
+
+@query(**_folded_sql("stage, files, chunks, bytes, errors, retries, done", "'0'; 0; 0; 0.0::double; 0; 0; false", ", ".join(CHECKPOINT.values()), f"'{{' || {SHOWN} || '}}'"))
 def checkpoint_updates(v):
     kinds = F.element_at(F.array(*(F.lit(x) for x in ("stage", "file", "chunk", "bytes", "error", "retry", "finish"))), (F.col("seq") % 7 + 1).cast("int"))
     return machines.folded(_machine_events(v).withColumn("event", kinds), machines.checkpoint())

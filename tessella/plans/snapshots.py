@@ -306,6 +306,31 @@ def pack_by_size(v):
     return store.pack_index(store.pack_by_size(_small(v), most_objects=4))
 
 
+@query("select hash, min(strlen(data))::bigint as size, sha256(min(data)) = hash as sound, 4 as per_pack from objects where data is not null and strlen(data) <= 65536 group by hash", ["objects"])
+def pack_round_trip(v):
+    """Objects written into packs of 4 and read back by the index; those whose bytes are not their hash's are told."""
+    rows = v.objects().where("data is not null").groupBy("hash").agg(F.min("data").alias("data"))
+    rows = rows.select("hash", F.col("data").cast("binary").alias("data"), F.octet_length("data").cast("long").alias("size"))
+    index = store.pack_index(store.pack_by_size(rows, most_objects=4))
+    packs = store.pack_bytes(index.join(rows.select("hash", "data"), "hash"))
+    return store.read_packed(packs, index, rows).select("hash", "size", "sound", F.lit(4).alias("per_pack"))
+
+
+@query("select o.hash, o.size, coalesce(sha256(o.data) = o.hash and strlen(o.data) = o.size, false) as sound from objects o where o.hash in (select content_hash from manifest_a)", ["objects", "manifest_a"])
+def checked_read(v):
+    rows = v.objects().withColumn("data", F.col("data").cast("binary"))
+    return store.checked_read(rows, v.manifest_a().select(F.col("content_hash").alias("hash"))).select("hash", "size", "sound")
+
+
+@query("select path, row_number() over (order by path) - 1 as index, true as proven from manifest_a", ["manifest_a"])
+def merkle_inclusion(v):
+    """Every file's proof leads to the root."""
+    leaves = manifest.merkle_leaves(v.manifest_a())
+    proofs = manifest.inclusion_proof(leaves, leaves.select("path"))
+    root = manifest.merkle_root(leaves).first()[0]
+    return proofs.select("path", "index", (manifest.proven_root(F.col("leaf"), F.col("siblings")) == root).alias("proven"))
+
+
 @query("select count(c.hash) as kept, count(*) - count(c.hash) as removable, coalesce(sum(case when c.hash is null then f.size end), 0)::bigint as reclaimed_bytes from (select hash, min(length) as size from fchunks group by hash) f left join cache c on f.hash = c.hash", ["fchunks", "cache"])
 def gc_plan(v):
     chunks = v.fchunks().groupBy("hash").agg(F.min("length").alias("size"))

@@ -30,6 +30,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write df and return it as read back: its plan starts at the written files."""
@@ -38,10 +39,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables of this run that no later plan reads."""
+        self.tables = [t for t in self.tables if all(t is not df for df in dfs)]
         for df in dfs:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tessella_path)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def keep(self, *dfs: DataFrame) -> None:
+        """Delete all tables of this run but these, which the result still reads."""
+        self.drop(*(t for t in self.tables if all(t is not df for df in dfs)))

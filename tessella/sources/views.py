@@ -114,4 +114,4 @@ def with_views(names: list[str], sql: str, extra: str = "") -> str:
     parts = [f"{n} as ({VIEWS[n]})" for n in order]
     if extra:
         parts.append(extra)
-    return (f"with {', '.join(parts)} " if parts else "") + sql
+    return (f"with recursive {', '.join(parts)} " if parts else "") + sql

@@ -7,7 +7,7 @@ from tessella.plans import QUERIES
 #: Joins of two one-row aggregates, and of every peer with the whole current version.
 PRODUCTS = {"similarity", "merkle_verify", "daemon_status", "incremental_diff"}
 #: The chunker and the ordered folds; everything else is built in.
-PYTHON = {"cdc_chunks", "cdc_dedup", "pack_by_size", "circuit_breaker", "rate_limit", "session_states", "checkpoint_updates"}
+PYTHON = {"cdc_chunks", "cdc_dedup", "pack_by_size", "pack_round_trip", "circuit_breaker", "rate_limit", "session_states", "checkpoint_updates"}
 
 
 def plan(frame):
@@ -21,6 +21,13 @@ def test_no_products_and_no_python_but_where_meant(name, spark, small):
     assert any(x in told for x in ("MapInArrow", "MapInPandas", "PythonUDF", "FlatMapGroups", "ArrowEvalPython")) == (name in PYTHON)
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_window_over_all_rows_in_one_task(name, spark, small):
+    lines = [x.strip(" +-:*()0123456789") for x in plan(QUERIES[name](spark, small)).split("\n")]
+    windows = [i for i, x in enumerate(lines) if x.startswith("Window ")]
+    assert not any("SinglePartition" in x for i in windows for x in lines[i + 1 : i + 3])
+
+
 def test_scans_read_only_the_columns_that_are_used(spark, small):
     told = plan(QUERIES["latency_percentiles"](spark, small))
     schema = told[told.index("ReadSchema") :].split(">")[0]
