@@ -5,12 +5,14 @@
 2. Documents with the same words (by SHA-256) are one class, of which only the smallest doc_id goes on; of classes whose
    sets turn out equal, only the first. So thousands of copies cost one row each and are never paired.
 3. Classes that agree in a band share a bucket. All members of a bucket are compared with its smallest doc_id, a linear
-   number of pairs. After linking, only members in different components are still apart: those outside a bucket's largest
-   component are compared with all its members, in a grid of cells of at most about ``GRID`` by ``GRID`` signatures, which
-   different tasks take. So no pair of a bucket is skipped unless its two ends are already connected.
-4. A cell is a join whose condition is that sizes allow the threshold and signatures agree in enough bits (six standard
-   deviations below what the threshold gives): only such pairs leave it, and no group is expanded into its pairs. Then
-   the texts of both decide: their shingles are compared as exact numbers of words, in integers, never by hashes.
+   number of pairs. After linking, only members in different components are still apart: in a bucket of up to ``SMALL``
+   classes, all pairs that are apart are compared. Larger buckets that hold several components are gathered into clusters
+   of buckets that share members; there, everything outside the largest component is compared with the whole cluster, in
+   blocks that are bounded in rows and in shingles, and only links leave a block. So no pair of a bucket is skipped unless
+   its two ends are already connected, and no group is expanded into its pairs.
+4. A pair made by a join goes on if its sizes allow the threshold and its signatures agree in enough bits (six standard
+   deviations below what the threshold gives), as a condition of the join itself. Then the texts of both decide: their
+   shingles are compared as exact numbers of words, in integers, never by hashes.
 5. Components come from alternating large-star and small-star.
 
 With 42 bands of 6 rows, a pair at similarity 0.8 shares no bucket with a probability of 3e-6, at 0.85 of 1e-9. More rows
@@ -20,18 +22,20 @@ to a band (parameters of near_duplicates) keep chance meetings rare in a larger
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, contracted
 from .scratch import Scratch
 from .text_arrays import BLOCK, U, Words, blocks, mix, raw, shingle_keys, slices, values, windows
 
-BANDS, ROWS, GRID, LONG = 42, 6, 4096, 1 << 24
+BANDS, ROWS, SMALL, LONG = 42, 6, 64, 1 << 24
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 19
 _rng = np.random.default_rng(1234567)
 FACTORS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 SHIFTS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2)
@@ -171,7 +175,61 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, grid: int = GRID) -> DataFrame:
+def linked_across(percent: int, size: int):
+    """For applyInPandas: of two blocks, a link of each row of the first to each other component of the second, if any."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = rows[rows["asks"]], rows[~rows["asks"]]
+        out: list[tuple[int, int]] = []
+        if len(ours) and len(theirs):
+            sets = exact_sets(pa.array([*ours["text"], *theirs["text"]], pa.large_string()), size)
+            sizes = np.array([len(s) for s in sets])
+            _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            n, first = len(ours), int(starts[len(ours)])
+            marks = np.zeros(numbers.max() + 1, np.int32)
+            components, names = theirs["component"].to_numpy(), theirs["rep"].to_numpy()
+            for i, (rep, component) in enumerate(zip(ours["rep"], ours["component"], strict=True)):
+                own = numbers[starts[i] : starts[i] + sizes[i]]
+                marks[own] = 1
+                both = np.add.reduceat(marks[numbers[first:]], starts[n:] - first)
+                marks[own] = 0
+                near = np.flatnonzero((100 * both >= percent * (sizes[i] + sizes[n:] - both)) & (components != component))
+                _, one = np.unique(components[near], return_index=True)
+                out += [(int(rep), int(names[j])) for j in near[one]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
+
+
+def across(many: DataFrame, texts_of: Callable[[DataFrame], DataFrame], scratch: Scratch, size: int, percent: int, block: int, shingles: int) -> DataFrame:
+    """Links between members of different components in large buckets; no pair leaves a block unless it is a link.
+
+    Buckets that share members form a cluster, so that a class which is in many of them is compared once. What is outside
+    a cluster's largest component is dealt into blocks, and so is the whole cluster; blocks hold about ``block`` rows and
+    ``shingles`` shingles each, and every two of them meet in a task.
+    """
+    clusters = scratch.cut(components(many.select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch))
+    rows = many.select("rep", "component", "n").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    rows = scratch.cut(rows)
+    counts = rows.groupBy("cluster", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).groupBy("cluster")
+    counts = counts.agg(F.max(F.struct("rows", "component", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+
+    def parts(rows_: Column, n: Column, name: str) -> Column:
+        return F.greatest(F.ceil(rows_ / block), F.ceil(n / shingles)).cast("int").alias(name)
+
+    asking = parts(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n"), "asking")
+    counts = counts.select("cluster", F.col("top.component").alias("largest"), asking, parts(F.col("rows"), F.col("n"), "asked"))
+    rows = rows.join(scratch.cut(counts.where("asking > 0")), "cluster")
+    rows = scratch.cut(rows.join(texts_of(rows.select("rep").distinct()), "rep"))
+    own, other = (F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(of)).cast("int") for salt, of in ((0, "asking"), (1, "asked")))
+    kept = ["rep", "component", "text"]
+    ask = rows.where("component <> largest").select("cluster", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), F.lit(True).alias("asks"), *kept)
+    answer = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), other.alias("j"), F.lit(False).alias("asks"), *kept)
+    return ask.unionByName(answer).groupBy("cluster", "i", "j").applyInPandas(linked_across(percent, size), "u long, v long")
+
+
+def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK_ROWS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if the sets of their ``size``-word shingles have a Jaccard similarity of percent / 100 or more;
@@ -237,24 +295,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, grid
     comp = scratch.cut(linked.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component")))
 
     now = scratch.cut(members.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    counts = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
-    counts = counts.agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
-    cells = [F.ceil(x / F.lit(grid)).cast("int").alias(c) for x, c in ((F.col("all") - F.col("top.n"), "asking"), (F.col("all"), "asked"))]
-    still = scratch.cut(now.join(scratch.cut(counts.select("bucket", F.col("top.component").alias("largest"), *cells)), "bucket"))
-
-    def cell(which: str, of: str, salt: int):
-        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(of)).cast("int").alias(which)
-
-    def every(which: str, of: str):
-        return F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(which)
-
-    ask = still.where("component <> largest").select("*", cell("i", "asking", 0), every("j", "asked"))
-    answer = still.select("*", every("i", "asking"), cell("j", "asked", 1))
-    keys = ["bucket", "i", "j"]
-    pairs = side(ask, "u", *keys).join(side(answer, "v", *keys, "largest"), keys)
-    pairs = pairs.where(f"ucomponent <> vcomponent and (vcomponent = largest or u < v) and {possible}")
-    comp = scratch.cut(components(linked.unionByName(links(pairs.select("u", "v"))), scratch))
+    apart = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("rep").alias("hub"))
+    still = scratch.cut(now.join(scratch.cut(apart.where("lo < hi").select("bucket", "members", "hub")), "bucket"))
+    few, many = still.where(F.col("members") <= SMALL), still.where(F.col("members") > SMALL)
+    pairs = side(few, "u", "bucket").join(side(few, "v", "bucket"), "bucket").where(f"u < v and ucomponent <> vcomponent and {possible}")
+    edges = linked.unionByName(links(pairs.select("u", "v")))
+    if not many.isEmpty():
+        edges = edges.unionByName(across(many, texts_of, scratch, size, percent, block, shingles))
+    comp = scratch.cut(components(edges, scratch))
     placed = docs.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     placed = scratch.cut(placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
+    scratch.keep(sigs, placed)
     out = sigs.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -303,5 +303,6 @@ def pack_documents(documents: DataFrame, path: str, capacity: int = CAPACITY, en
     where = places(best_two_fit(counts, capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = scratch.cut(sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n"))
+    scratch.keep(pieces, offsets)
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(placed(where), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

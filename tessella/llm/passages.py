@@ -210,16 +210,20 @@ def repeated_passages(documents: DataFrame, window: int = 50) -> DataFrame:
     found = met.select("doc_id", "passage").join(states, "passage").where("doc_id > first or open")
     each = F.struct("phrase", "at", "n", "passage", (F.col("doc_id") > F.col("first")).alias("removed"))
     wanted = scratch.cut(found.groupBy("doc_id").agg(F.collect_list(each).alias("confirmed")))
+    scratch.drop(met, kinds, recurring, states)
     shards = scratch.cut(texts.join(wanted, "doc_id", "left").mapInArrow(located(window), LOCATED))
+    scratch.drop(wanted)
     looked = shards.select("doc_id", F.explode("hashes").alias("hash"))
     twice = looked.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     twice = scratch.cut(twice.select("hash", "first"))
     hit = looked.join(twice, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("hash").alias("hit"))
     some = shards.where("text is not null").join(hit, "doc_id", "left").withColumn("text_id", F.sha2("text", 256))
     changed = some.mapInArrow(trimmed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_id string")
+    changed = scratch.cut(changed)
+    scratch.keep(shards, changed)
     none = [F.lit(None).cast("string").alias(c) for c in ("kept_text", "text_id")]
     rest = shards.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), *none)
-    return rest.unionByName(scratch.cut(changed))
+    return rest.unionByName(changed)
 
 
 def without_repeats(documents: DataFrame, window: int = 50) -> DataFrame:

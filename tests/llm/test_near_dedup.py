@@ -49,9 +49,10 @@ def test_equals_all_pairs(spark, size, rows):
 
 
 @pytest.mark.parametrize("edits", [9, 14])
-def test_large_buckets_are_compared_in_cells(spark, edits):
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, edits):
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
     rows = corpus(5, 1, 150, 50, edits)
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, grid=16)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, block=16, shingles=1000)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == plain(rows, 2, 80)
 
 
