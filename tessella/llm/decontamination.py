@@ -6,7 +6,7 @@
 3. A randomised SVD of the passage matrix: every task sums A^T (A Omega) over its rows for one random matrix Omega of
    ``RANK`` columns, the sums are added up, and the driver turns them into singular vectors (Nystroem). Benchmark items
    take part with as much weight in total as the corpus. The matrix has one row for each vocabulary word, so its size is
-   bounded by the block of benchmark items, not by the corpus.
+   bounded by the words of the benchmark, not by the corpus. Sums are integers, so they don't depend on an order.
 4. Every passage, one starting every ``STEP`` words, is projected and compared with all items by cosine.
 5. Every run of ``GRAM`` words that a document shares with an item is a candidate as well, whatever its cosine: in a large
    benchmark the other vocabulary words of a passage hide a short item. So each verbatim copy is a candidate.
@@ -32,6 +32,7 @@ from .text_arrays import BYTE_VALUE, raw, runs, slices, spans, windows
 
 PASSAGE, STEP, RANK, SHORT, FREQUENT = 48, 16, 64, 8, 192
 GRAM, SHARED = 3, 32
+SCALE = 1 << 20
 BLOCKS = PASSAGE // STEP
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -51,12 +52,12 @@ def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of benchmark items: vocabulary, numbers of their words, answers."""
+    """A block of benchmark items: numbers of their words in the vocabulary of all items, answers."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], vocabulary: np.ndarray):
         rows = [(i, t) for i, t in rows if t]
         hashes, before = folded_words(pa.array([t for _, t in rows], pa.string()))
-        self.vocabulary = np.unique(hashes)
+        self.vocabulary = vocabulary
         numbers = np.searchsorted(self.vocabulary, hashes)
         own = [numbers[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]
         self.ids = [i for (i, _), w in zip(rows, own, strict=True) if len(w)]
@@ -72,6 +73,12 @@ class Items:
         return len(self.vocabulary)
 
 
+def different_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: the hash of each different word of this task's texts."""
+    for batch in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(folded_words(batch.column("text"))[0]).view(np.int64))], names=["word"])
+
+
 def numbered_words(vocabulary: np.ndarray):
     """For mapInArrow: the vocabulary numbers of the words of each document, as bytes; the last number is any other."""
     kind = np.uint16 if len(vocabulary) < 65535 else np.uint32
@@ -177,7 +184,8 @@ def sketches(size: int, idf: np.ndarray, omega: np.ndarray):
         for _, numbers, before in unpacked(batches, size):
             total += sketch(numbers, cuts(before, PASSAGE)[0], idf, omega, sums)
         met = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *(pa.array(total[met, c]) for c in range(omega.shape[1]))], names=["word", *(f"y{c}" for c in range(omega.shape[1]))])
+        whole = np.rint(total[met] * SCALE).astype(np.int64)  # integers, so that no order of adding up changes the sums
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *(pa.array(whole[:, c]) for c in range(omega.shape[1]))], names=["word", *(f"y{c}" for c in range(omega.shape[1]))])
 
     return run
 
@@ -290,7 +298,7 @@ def retrieved(items: Items, idf: np.ndarray, projection: np.ndarray, cosine: flo
                 rows = each.copy()
                 for k in range(1, BLOCKS):
                     rows[:-k][owner[:-k] == owner[k:]] += each[k:][owner[:-k] == owner[k:]]
-                near = unit(rows) @ query.T
+                near = np.round(unit(rows) @ query.T, 5)  # so that the number of items in a block shows nowhere
                 high = near >= cosine
                 apart = owner[1:] != owner[:-1]
                 high[1:] &= (near[1:] >= near[:-1]) | apart[:, None]  # local maxima
@@ -361,41 +369,53 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.5
 
     cosine is that of the passage there, which may be below the threshold where a shared run of words led to the item.
     lcs and answer are the shares of the item and of its answer that the words from first_word to end_word have in order.
-    The benchmark is checked for size: beyond ``block`` items it is taken in blocks, each with its own search. Null and
-    empty texts and items, and null item_ids, match nothing; null doc_ids are reported as such; repeated rows are reported
-    each; further columns are ignored. Without documents or items the result is empty.
+    Vocabulary, weights and SVD are one for the whole benchmark. Only the search takes its items in blocks of about
+    ``block``, which bounds what a task holds and changes no row. Null and empty texts and items, and null item_ids, match
+    nothing; null doc_ids are reported as such; repeated rows are reported each; further columns are ignored. Without
+    documents or items the result is empty.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "decontamination")
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-rows.count() // block))
     schema = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, end_word long"
+    found = rows.select("text").mapInArrow(different_words, "word long").distinct().toPandas()  # a number for each word of the benchmark
+    vocabulary = np.unique(found["word"].to_numpy(np.int64).view(np.uint64))
+    if not len(vocabulary):
+        return spark.createDataFrame([], schema)
+    kind = "doc_id long, words binary"
+    words = scratch.cut(documents.select("doc_id", "text").mapInArrow(numbered_words(vocabulary), kind))
+    own = scratch.cut(rows.select(F.col("item_id").alias("doc_id"), "text").mapInArrow(numbered_words(vocabulary), kind))
+    idf, projection = latent_space(words, own, len(vocabulary))
+    blocks = max(1, -(-rows.count() // block))
     out = None
     for nth in range(blocks):
-        items = Items(sorted(map(tuple, rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == nth).collect())))
+        items = Items(sorted(map(tuple, rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == nth).collect())), vocabulary)
         if items.words:
-            found = search(documents, items, scratch, cosine, overlap, answer, schema)
-            out = found if out is None else out.unionByName(found)
+            near = words.mapInArrow(retrieved(items, idf, projection, cosine, overlap, answer), schema)
+            out = near if out is None else out.unionByName(near)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def search(documents: DataFrame, items: Items, scratch: Scratch, cosine: float, overlap: float, answer: float, schema: str) -> DataFrame:
-    """contaminated() for one block of items."""
-    size = items.size
-    words = scratch.cut(documents.select("doc_id", "text").mapInArrow(numbered_words(items.vocabulary), "doc_id long, words binary"))
-    counts = dict(map(tuple, words.select("words").mapInArrow(frequencies(size), "word int, n long").groupBy("word").agg(F.sum("n")).collect()))  # a row for each vocabulary word
-    passages = counts.pop(-1, 0)
+def latent_space(words: DataFrame, own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each vocabulary word, and its row of the projection, from the words of documents and of items."""
+
+    def counted(table: DataFrame) -> dict[int, int]:  # a row for each vocabulary word
+        return dict(map(tuple, table.select("words").mapInArrow(frequencies(size), "word int, n long").groupBy("word").agg(F.sum("n")).collect()))
+
+    counts = counted(words)
+    passages, mine = counts.pop(-1, 0), counted(own).get(-1, 0)
     seen = np.zeros(size)
     seen[list(counts)] = list(counts.values())
     idf = np.log((passages + 1) / (seen + 1)) + 0.1
     omega = np.random.default_rng(99).normal(size=(size, RANK)).astype(np.float32)
     columns = [f"y{c}" for c in range(RANK)]
-    parts = words.select("words").mapInArrow(sketches(size, idf, omega), "word int, " + ", ".join(f"{c} double" for c in columns))
-    rows = parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # a row for each vocabulary word
-    y = np.zeros((size, RANK))
-    y[rows["word"].to_numpy(np.int64)] = rows[columns].to_numpy()
-    flat, at = np.concatenate(items.words), np.cumsum([0, *map(len, items.words)])
-    starts = cuts(at, PASSAGE)[0]
-    y += max(1.0, passages / len(starts)) * sketch(flat, starts, idf, omega, Sums(idf))
-    projection = idf[:, None] * singular_vectors(y, omega.astype(float))
-    return words.mapInArrow(retrieved(items, idf, projection, cosine, overlap, answer), schema)
+
+    def summed(table: DataFrame) -> np.ndarray:  # a row for each vocabulary word
+        parts = table.select("words").mapInArrow(sketches(size, idf, omega), "word int, " + ", ".join(f"{c} long" for c in columns))
+        rows = parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        y = np.zeros((size, RANK))
+        y[rows["word"].to_numpy(np.int64)] = rows[columns].to_numpy(float) / SCALE
+        return y
+
+    y = summed(words) + max(1.0, passages / max(mine, 1)) * summed(own)
+    return idf, idf[:, None] * singular_vectors(y, omega.astype(float))

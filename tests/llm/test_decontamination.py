@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tessella.llm import decontamination, queries
 
 ITEMS = "item_id long, text string, cosine string"
@@ -35,8 +37,32 @@ def test_finds_copies_and_paraphrases_only(spark):
 
 def test_blocks_of_items_give_the_same(spark):
     items, docs, truth = corpus(2)
-    out = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS), block=25)
-    assert {(r.doc_id, r.item_id) for r in out.collect()} == truth
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    out = [sorted(map(tuple, decontamination.contaminated(docs, items, block=n).collect())) for n in (25, 20000)]
+    assert out[0] == out[1] and {r[:2] for r in out[0]} == truth
+
+
+@pytest.mark.parametrize("share, least", [(0.1, 0.97), (0.2, 0.9), (0.25, 0.7)])
+def test_paraphrases_with_synonyms(spark, share, least):
+    """That share of an item's words is replaced, each by a synonym that other documents use in the same places."""
+    rng = random.Random(8)
+    items, docs, _ = corpus(3)
+    docs = [(d, t) for d, t in docs if d % 8]
+    synonym = lambda w: "syn" + w.lower().strip(".")
+    docs += [(1000 + d, " ".join(synonym(w) if rng.random() < 0.5 else w for w in t.split())) for d, t in docs]
+    truth = set()
+    for i, text, _ in items:
+        own = text.split()
+        for k in rng.sample(range(len(own)), round(share * len(own))):
+            own[k] = synonym(own[k])
+        host = docs[i][1].split()
+        host[len(host) // 2 : len(host) // 2] = own
+        docs[i] = (docs[i][0], " ".join(host))
+        truth.add((docs[i][0], i))
+    out = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS))
+    found = {(r.doc_id, r.item_id) for r in out.collect()}
+    print("recall", share, len(found & truth) / len(truth), "others", len(found - truth))
+    assert len(found & truth) >= least * len(truth) and not found - truth
 
 
 def test_short_items_word_for_word(spark):
