@@ -10,18 +10,23 @@ that are returned are Euclidean, in double precision, on the original vectors.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-SHARD, DEGREE, BEAM, SEARCH_BEAM, ALPHA, ENTRIES, WIDE, ROUND = 2048, 32, 64, 128, 1.2, 8, 4, 256
+SHARD, DEGREE, BEAM, SEARCH_BEAM, ALPHA, ENTRIES, WIDE, ROUND = 8192, 32, 64, 64, 1.2, 8, 4, 256
+
 
+def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query: places of the nearest vectors found (-1 if fewer), their squared distances, how many were looked at.
 
-def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query: places of the nearest vectors found (-1 if fewer) and their squared distances, nearest first.
+    Nearest first.
 
     All queries of a block walk together; each step expands the ``WIDE`` nearest entries of every beam not yet expanded.
     """
@@ -48,7 +53,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries:
         pick = np.argpartition(waiting, min(WIDE, beam - 1), axis=1)[:, :WIDE]
         usable = np.isfinite(waiting[rows, pick])
         if not usable.any():
-            return ids, near
+            return ids, near, seen.sum(axis=1) - 1
         opened[rows, pick] = True
         fresh = np.where(usable[:, :, None], edges[np.where(usable, ids[rows, pick], 0)], -1).reshape(n, -1)
 
@@ -92,7 +97,7 @@ def build_graph(x: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         order = rng.permutation(n)
         for at in range(0, n, ROUND):
             points = order[at : at + ROUND]
-            found, _ = beam_search(x, edges, entries, x[points], BEAM)
+            found, _, _ = beam_search(x, edges, entries, x[points], BEAM)
             edges[points] = robust_prune(x, points, np.concatenate([found, edges[points]], 1), DEGREE, alpha)
             source, target = np.repeat(points, DEGREE), edges[points].ravel()
             source, target = source[target >= 0], target[target >= 0]
@@ -126,31 +131,51 @@ def packed_queries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def searched(most: int):
-    """For applyInPandas: the nearest distinct vectors of one shard for one block of queries."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples():
-            x, q = (np.frombuffer(b, np.float64).reshape(-1, r.dims) for b in (r.vectors, r.queries))
-            reps, query_reps = np.frombuffer(r.reps, np.int64), np.frombuffer(r.query_reps, np.int64)
-            edges = np.frombuffer(r.edges, np.int32).reshape(len(x), -1).astype(np.int64)
-            for at in range(0, len(q), ROUND):
-                some = q[at : at + ROUND]
-                ids, _ = beam_search(x.astype(np.float32), edges, np.frombuffer(r.entries, np.int32).astype(np.int64), some.astype(np.float32), max(SEARCH_BEAM, 2 * most))
-                far = np.where(ids < 0, np.inf, np.sqrt(((x[ids] - some[:, None]) ** 2).sum(axis=2)))
-                names = np.where(ids < 0, np.iinfo(np.int64).max, reps[ids])
-                order = np.lexsort((names, far), axis=1)[:, :most]
-                line = np.arange(len(some))[:, None]
-                far, names = far[line, order], names[line, order]
-                real = np.isfinite(far)
-                out.append(pd.DataFrame({"query_rep": np.repeat(query_reps[at : at + ROUND], real.sum(axis=1)), "rep": names[real], "score": far[real]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_rep": [], "rep": [], "score": []})
+    """For mapInArrow: the nearest distinct vectors of a shard for each query; ``visited`` is told once for each query.
+
+    Rows come by shard: the shard's graph (block -1), then the blocks of queries, one after another. So a task holds one
+    graph and one block.
+    """
+
+    def found(row: dict, graph: tuple) -> pa.RecordBatch:
+        reps, x, edges, entries = graph
+        query_reps, q = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dims"])
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(0, len(q), ROUND):
+            some = q[at : at + ROUND]
+            ids, _, looked = beam_search(x.astype(np.float32), edges, entries, some.astype(np.float32), max(SEARCH_BEAM, 2 * most))
+            far = np.where(ids < 0, np.inf, np.sqrt(((x[ids] - some[:, None]) ** 2).sum(axis=2)))
+            names = np.where(ids < 0, np.iinfo(np.int64).max, reps[ids])
+            order = np.lexsort((names, far), axis=1)[:, :most]
+            line = np.arange(len(some))[:, None]
+            far, names = far[line, order], names[line, order]
+            visited = np.zeros_like(names)
+            visited[:, 0] = looked
+            real = np.isfinite(far)
+            for column, values in zip(out, (np.repeat(query_reps[at : at + ROUND], real.sum(axis=1)), names[real], far[real], visited[real]), strict=True):
+                column.append(values)
+        arrays = [pa.array(np.concatenate([*c, np.zeros(0, t)]).astype(t)) for c, t in zip(out, (np.int64, np.int64, np.float64, np.int64), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["query_rep", "rep", "score", "visited"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["block"] < 0:
+                    reps, entries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["entries"], np.int32).astype(np.int64)
+                    x = np.frombuffer(row["vectors"], np.float64).reshape(len(reps), row["dims"])
+                    graph = reps, x, np.frombuffer(row["edges"], np.int32).reshape(len(reps), -1).astype(np.int64), entries
+                else:
+                    yield found(row, graph)
 
     return run
 
 
 def nearest(embeddings: DataFrame, is_query, k: int = 10, shard: int = SHARD, block: int = 4096) -> DataFrame:
-    """The k nearest rows found for each row where ``is_query`` holds: query_id, rank, vec_id, score.
+    """The k nearest rows found for each row where ``is_query`` holds: query_id, rank, vec_id, score, visited_share.
+
+    visited_share is the part of all distinct vectors that the query's walks looked at.
 
     Candidates are all rows with another vec_id and a vector of the same length; ties go to the smaller vec_id; with fewer
     than k candidates all found are returned. Rows with a null vec_id and vectors that are null, empty, zero or hold null or
@@ -168,17 +193,22 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10, shard: int = SHARD, bl
     asking = scratch.cut(rows.where("asks").join(nodes.select("rep", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"))
     count = nodes.count()
     shards = max(1, round(count / shard))
-    graphs = nodes.select("rep", "embedding", "dims", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard", "dims").applyInPandas(packed_graph, "shard int, dims int, reps binary, vectors binary, edges binary, entries binary")
-    graphs = scratch.cut(graphs)
+    # Each shard is much work and few bytes: a number of partitions of its own keeps Spark from putting them together.
+    dealt = nodes.select("rep", "embedding", "dims", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")).repartition(2 * shards, "shard")
+    graphs = scratch.cut(dealt.groupBy("shard", "dims").applyInPandas(packed_graph, "shard int, dims int, reps binary, vectors binary, edges binary, entries binary"))
     unique = scratch.cut(asking.select("rep").distinct())
     blocks = max(1, -(-unique.count() // block))
     queries = nodes.join(unique, "rep", "left_semi").select("rep", "embedding", "dims", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     queries = scratch.cut(queries.groupBy("block", "dims").applyInPandas(packed_queries, "block int, dims int, query_reps binary, queries binary"))
-    # Each shard meets each block of queries once.
-    pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, ["block", "dims"])
-    found = scratch.cut(pairs.groupBy("shard", "block", "dims").applyInPandas(searched(k + 1), "query_rep long, rep long, score double"))
-    best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_rep").orderBy("score", "rep"))).where(f"nth <= {k + 1}")
+    # Each block of queries goes to every shard; a graph goes nowhere but to its own task.
+    none = F.lit(None).cast("binary")
+    rows = graphs.select("shard", "dims", F.lit(-1).alias("block"), F.col("reps").alias("ids"), "vectors", "edges", "entries")
+    asks = queries.join(graphs.select("shard", "dims"), "dims").select("shard", "dims", "block", F.col("query_reps").alias("ids"), F.col("queries").alias("vectors"), none.alias("edges"), none.alias("entries"))
+    met = rows.unionByName(asks).repartition(2 * shards, "shard").sortWithinPartitions("shard", "dims", "block")
+    found = scratch.cut(met.mapInArrow(searched(k + 1), "query_rep long, rep long, score double, visited long"))
+    share = found.groupBy("query_rep").agg((F.sum("visited") / F.lit(max(count, 1))).alias("visited_share"))
+    best = found.drop("visited").withColumn("nth", F.row_number().over(Window.partitionBy("query_rep").orderBy("score", "rep"))).where(f"nth <= {k + 1}")
     wide = scratch.cut(best.join(nodes.select("rep", "ids"), "rep").select("query_rep", "score", F.explode("ids").alias("vec_id")))
-    answers = asking.join(wide, asking.rep == wide.query_rep).where("vec_id <> query_id")
+    answers = asking.join(wide, asking.rep == wide.query_rep).where("vec_id <> query_id").drop("rep")
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(f"rank <= {k}")
-    return ranked.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), "score")
+    return ranked.join(share, "query_rep").select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), "score", "visited_share")

@@ -36,6 +36,19 @@ def test_recall_and_scores_on_the_test_table(spark):
     assert all(abs(true[q][i] - s) < 1e-9 for q in true for i, s in got[q])
 
 
+def test_a_walk_visits_a_small_part_of_a_full_shard(spark):
+    """Clustered vectors, one shard of the default size: recall and the share of vectors that a query looks at."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(64, 32))
+    x = (centres[rng.integers(0, 64, neighbours.SHARD)] + rng.normal(size=(neighbours.SHARD, 32)) * 0.6).round(4)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    frame = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+    share = frame.agg(F.avg("visited_share"), F.max("visited_share")).first()
+    got = recall(answers(frame), plain(rows, 10))
+    print("visited", share, "recall", got)
+    assert share[1] < 0.10 and got >= 0.9
+
+
 def test_several_shards_and_blocks(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).round(3).tolist()) for i in range(1500)]
