@@ -125,7 +125,8 @@ def fit_language(documents: DataFrame, modulus: int = 4, held: int = 2, per_lang
     languages = usable.select("lang").distinct().count()
     most = max(1, min(per_language, rows // (windows * max(1, languages))))
     chosen = one_of_each(usable, "lang", "doc_id", most)
-    # rows / windows documents, or one for each language, at most; Spark broadcasts them if they are small
+    if languages * most <= rows // windows:  # a proven bound; with more languages Spark decides by their size
+        chosen = F.broadcast(chosen)
     picked = documents.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
