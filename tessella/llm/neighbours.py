@@ -193,8 +193,10 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10, shard: int = SHARD, bl
     asking = scratch.cut(rows.where("asks").join(nodes.select("rep", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"))
     count = nodes.count()
     shards = max(1, round(count / shard))
-    # Each shard is much work and few bytes: a number of partitions of its own keeps Spark from putting them together.
-    dealt = nodes.select("rep", "embedding", "dims", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")).repartition(2 * shards, "shard")
+    # Each shard is much work and few bytes: a number of partitions of its own keeps Spark from putting them together, and
+    # more partitions than shards keep two of few shards from meeting in one.
+    spread = max(2 * shards, min(12 * shards, 256))
+    dealt = nodes.select("rep", "embedding", "dims", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")).repartition(spread, "shard")
     graphs = scratch.cut(dealt.groupBy("shard", "dims").applyInPandas(packed_graph, "shard int, dims int, reps binary, vectors binary, edges binary, entries binary"))
     unique = scratch.cut(asking.select("rep").distinct())
     blocks = max(1, -(-unique.count() // block))
@@ -204,7 +206,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10, shard: int = SHARD, bl
     none = F.lit(None).cast("binary")
     rows = graphs.select("shard", "dims", F.lit(-1).alias("block"), F.col("reps").alias("ids"), "vectors", "edges", "entries")
     asks = queries.join(graphs.select("shard", "dims"), "dims").select("shard", "dims", "block", F.col("query_reps").alias("ids"), F.col("queries").alias("vectors"), none.alias("edges"), none.alias("entries"))
-    met = rows.unionByName(asks).repartition(2 * shards, "shard").sortWithinPartitions("shard", "dims", "block")
+    met = rows.unionByName(asks).repartition(spread, "shard").sortWithinPartitions("shard", "dims", "block")
     found = scratch.cut(met.mapInArrow(searched(k + 1), "query_rep long, rep long, score double, visited long"))
     share = found.groupBy("query_rep").agg((F.sum("visited") / F.lit(max(count, 1))).alias("visited_share"))
     best = found.drop("visited").withColumn("nth", F.row_number().over(Window.partitionBy("query_rep").orderBy("score", "rep"))).where(f"nth <= {k + 1}")
