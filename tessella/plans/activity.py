@@ -289,14 +289,8 @@ def session_chunk_state(v):
     return transfer.chunk_states(v.pending().select("session_id", (F.col("part") % 3).alias("hash"), F.col("line").alias("seq"), event.alias("event")))
 
 
-@query(f"select session_id from sessions where {EPOCH} - updated_s < 86400 * 9000 and session_id % 2 = 0", ["sessions"])
-def peer_ttl(v):
-    return retention.present_peers(v.sessions().where("session_id % 2 = 0").withColumnRenamed("updated_s", "last_seen_s"), EPOCH, 86400 * 9000).select("session_id")
-
-
 @query(f"select session_id from sessions where {EPOCH} - updated_s < 86400 * 9000", ["sessions"])
-def present_peers(v):
-    """All present peers; peer_ttl is a sample of them."""
+def peer_ttl(v):
     return retention.present_peers(v.sessions().withColumnRenamed("updated_s", "last_seen_s"), EPOCH, 86400 * 9000).select("session_id")
 
 

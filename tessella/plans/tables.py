@@ -71,23 +71,15 @@ def resumable_temp(v):
     return store.resumable_temp(listing, "src0/a")
 
 
-@query("select doc_id % 20 as manifest_id, f.path, f.size, f.content_hash from files f where doc_id % 20 < 5", ["files"])
+@query("select doc_id % 20 as manifest_id, f.path, f.size, f.content_hash from files f", ["files"])
 def manifest_entries(v):
     """The join of manifests, their file lists and files."""
     files = v.files().select(F.col("doc_id").alias("file_id"), "path", "size", "content_hash")
     listed = files.select((F.col("file_id") % 20).alias("manifest_id"), "file_id")
-    manifests = listed.select("manifest_id").distinct().where("manifest_id < 5")
+    manifests = listed.select("manifest_id").distinct()
     return manifest.entries_of(manifests, listed, files).select("manifest_id", "path", "size", "content_hash")
 
 
-@query("select doc_id % 20 as manifest_id, f.path, f.size, f.content_hash from files f", ["files"])
-def manifest_files(v):
-    """manifest_entries over all manifests."""
-    files = v.files().select(F.col("doc_id").alias("file_id"), "path", "size", "content_hash")
-    listed = files.select((F.col("file_id") % 20).alias("manifest_id"), "file_id")
-    return manifest.entries_of(listed.select("manifest_id").distinct(), listed, files).select("manifest_id", "path", "size", "content_hash")
-
-
 @query("select path, size from manifest_b where path in (select path from manifest_a where size > 2000)", ["manifest_a", "manifest_b"])
 def entry_details(v):
     return manifest.details(v.manifest_b(), v.manifest_a().where("size > 2000")).select("path", "size")
