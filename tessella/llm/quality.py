@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .sampling import id_remainder, one_of_each
 from .text_arrays import BYTE_VALUE, U, raw, slices, spans
 
-BUCKETS, DIMENSIONS, SPARSE, REACH = 8192, 32, 2, 2
+BUCKETS, DIMENSIONS, SPARSE, REACH = 65536, 32, 2, 2
 FEATURES = 2 * DIMENSIONS + REACH + 2
 KIND = np.full(256, 3, np.uint8)  # 0 space and control, 1 letter, 2 digit, 3 other
 KIND[:33] = 0
