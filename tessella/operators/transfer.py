@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..numbering import numbered
@@ -90,3 +90,12 @@ def resumable(sessions: DataFrame) -> DataFrame:
 
 def append_once(items: Column, item: Column) -> Column:
     return F.array_union(items, F.array(item))
+
+
+def count_saves(completions: DataFrame, every: int = 50) -> DataFrame:
+    """Which completed chunk of a session has its state saved: every n-th, in the order of seq. Adds nth and saved.
+
+    A repeated chunk counts again, as the counter does.
+    """
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
+    return completions.withColumn("nth", nth.cast("long")).withColumn("saved", F.col("nth") % every == 0)

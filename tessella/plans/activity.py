@@ -452,3 +452,19 @@ def checkpoint_updates(v):
 @query("select key, count(*) as failures from (select user_id::varchar as key, us, seq, kind, max(case when kind <> 'Removed' then n end) over (partition by user_id) as since, n from (select *, row_number() over (partition by user_id order by us, seq) as n from fsevents) y) x where kind = 'Removed' and n > coalesce(since, -1) group by key having count(*) < 3", ["fsevents"])
 def retry_queue(v):
     return machines.retry_queue(_machine_events(v))
+
+
+@query("select key, seq, seq % 5 = 0 as saved from ev", ["fsevents"], MACHINE)
+def checkpoint_saves(v):
+    """Every fifth chunk here, so that saves occur in small tables."""
+    done = _machine_events(v).select(F.col("key").alias("session_id"), "seq")
+    return transfer.count_saves(done, 5).select(F.col("session_id").alias("key"), "seq", "saved")
+
+
+SAVED = "case when e.ts - coalesce(s.since, e.ts) >= 86400.0 then {} else {} end"
+
+
+@query(**_folded_sql("since", "null::double", SAVED.format("e.ts", "coalesce(s.since, e.ts)"), SAVED.format("'saved'", "'kept'")))
+def checkpoint_cadence(v):
+    """A day between saves here."""
+    return machines.folded(_machine_events(v), machines.save_cadence(86400.0))

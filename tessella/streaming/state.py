@@ -134,6 +134,19 @@ def checkpoint() -> Callable[[], Step]:
     return make
 
 
+def save_cadence(interval_s: float = 30.0) -> Callable[[], Step]:
+    """Saves a transfer's checkpoint once the interval has passed since the last save; its first event starts the clock."""
+
+    def make() -> Step:
+        def step(state, row):
+            since = row.ts if state is None else state
+            return (row.ts, "saved") if row.ts - since >= interval_s else (since, "kept")
+
+        return step
+
+    return make
+
+
 def retry_queue(events: DataFrame, most: int = 3) -> DataFrame:
     """Failed items to be pushed again: those with fewer than ``most`` failures since their last success."""
     last = events.where("event = 'success'").groupBy("key").agg(F.max("seq").alias("since"))

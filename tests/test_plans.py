@@ -7,7 +7,7 @@ from tessella.plans import QUERIES
 #: Joins of two one-row aggregates, and of every peer with the whole current version.
 PRODUCTS = {"similarity", "merkle_verify", "daemon_status", "incremental_diff"}
 #: The chunker and the ordered folds; everything else is built in.
-PYTHON = {"cdc_chunks", "cdc_dedup", "pack_by_size", "pack_round_trip", "circuit_breaker", "rate_limit", "session_states", "checkpoint_updates"}
+PYTHON = {"cdc_chunks", "cdc_dedup", "pack_by_size", "pack_round_trip", "checkpoint_cadence", "circuit_breaker", "rate_limit", "session_states", "checkpoint_updates"}
 
 
 def plan(frame):

@@ -64,6 +64,15 @@ def test_session_fails_on_a_wrong_message(spark):
     assert run_machine(spark, state.sync_session(), [(0, "hello", 0.0), (1, "manifest", 0.0), (2, "summary", 0.0)]) == ["Negotiating", "Failed", "Failed"]
 
 
+def test_saves_by_count_and_by_time(spark):
+    from tessella.operators.transfer import count_saves
+
+    rows = spark.createDataFrame([(s, i) for s in "ab" for i in range(7)], "session_id string, seq long")
+    assert sorted((r.session_id, r.seq) for r in count_saves(rows, 3).where("saved").collect()) == [("a", 2), ("a", 5), ("b", 2), ("b", 5)]
+    times = [(t, "", 0.0) for t in (5.0, 10.0, 14.9, 15.0, 24.0, 25.5, 40.0)]
+    assert run_machine(spark, state.save_cadence(10.0), times) == ["kept", "kept", "kept", "saved", "kept", "saved", "saved"]
+
+
 def test_machine_on_a_stream_equals_batch(spark, tmp_path):
     schema = "key string, seq long, ts double, event string, value double"
     rows = spark.createDataFrame([(f"k{i % 3}", i, float(i), "failure" if i % 4 else "success", 0.0) for i in range(30)], schema)
@@ -85,8 +94,34 @@ def test_folder_index_and_store(spark, tmp_path):
     from tessella.operators.store import object_rows
 
     rows = {r.path: r for r in files.index_folder(spark, str(folder), SMALL).collect()}
-    assert set(rows) == {"sub/a.txt"} and rows["sub/a.txt"].size == 3000 and len(rows["sub/a.txt"].chunk_hashes) > 1
+    assert set(rows) == {"sub/a.txt", "empty"} and rows["sub/a.txt"].size == 3000 and len(rows["sub/a.txt"].chunk_hashes) > 1
+    assert rows["empty"].size == 0 and rows["empty"].chunk_hashes == []
     root = str(tmp_path / "store")
     for _ in range(2):
         files.write_objects(object_rows(files.scan(spark, str(folder))), root)
-    assert files.read_objects(spark, root).count() == 1
+    assert files.read_objects(spark, root).count() == 2
+
+
+def test_listing_keeps_empty_files_and_tells_problems(spark, tmp_path):
+    from tessella.scratch import Scratch
+
+    folder = tmp_path / "f"
+    (folder / "a" / "b").mkdir(parents=True)
+    (folder / ".git").mkdir()
+    for name in ("x", "a/y", "a/b/z", ".git/config", "a/gone"):
+        (folder / name).write_bytes(b"" if name == "x" else name.encode())
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far" / "w").write_bytes(b"far")
+    (folder / "a" / "link").symlink_to(folder / "a" / "y")
+    (folder / "a" / "out").symlink_to(tmp_path / "far")
+    (folder / "a" / "b" / "back").symlink_to(folder / "a")
+    (folder / "a" / "dangling").symlink_to(folder / "nothing")
+    plain = {r.path: r.size for r in files.scan(spark, str(folder), content=False).collect()}
+    assert plain == {"x": 0, "a/y": 3, "a/b/z": 5, "a/gone": 6}
+    assert {r.path for r in files.scan(spark, f"file://{folder}").collect()} == set(plain)
+    followed = {r.path: r.kind for r in files.listing(spark, str(folder), Scratch(spark, "t"), follow_links=True).collect()}
+    assert followed == {**dict.fromkeys(plain, "file"), "a/link": "file", "a/out/w": "file", "a/b/back": "problem", "a/dangling": "problem"}
+    found = files.listing(spark, str(folder), Scratch(spark, "t"))
+    (folder / "a" / "gone").unlink()
+    told = {r.path: r.problem is None for r in files.contents(found, str(folder)).collect()}
+    assert told == {"x": True, "a/y": True, "a/b/z": True, "a/gone": False}
